@@ -42,10 +42,9 @@ def dup_lines(text: Column) -> Column:
 
 def _window_hashes(words: Column) -> Column:
     """A hash of each window of eight words, by doubling: pairs, fours, eights."""
-    last = F.lit(2**31 - 1)
 
     def pair(hashes: Column, step: int) -> Column:
-        return F.zip_with(hashes, F.slice(hashes, F.lit(step + 1), last), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(hashes, F.slice(hashes, F.lit(step + 1), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
     return let(pair(words, 1), lambda two: let(pair(two, 2), lambda four: F.slice(pair(four, 4), F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))))
 
@@ -55,7 +54,7 @@ def _covered(hashes: Column) -> Column:
     ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     again = lambda s: F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
     starts = let(ranked, lambda s: F.array_sort(F.transform(again(s), lambda x: x["i"])))
-    return let(starts, lambda p: F.aggregate(F.zip_with(p, F.slice(p, F.lit(2), F.lit(2**31 - 1)), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda n, x: n + x))
+    return let(starts, lambda p: F.aggregate(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda n, x: n + x))
 
 
 def repeat_words(words: Column) -> Column:
