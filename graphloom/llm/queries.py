@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .quality_rules import quality_counts
+from .simhash_dedup import simhash_components
 from .url_filter import filter_urls
 
 
@@ -26,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
