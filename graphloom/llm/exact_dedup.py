@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = F.coalesce("__full", full) if digest else F.col("__full")
     single = marked.where("__full is null").select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), own.alias("text_sha256"))
     same = materialize(marked.where("__full is not null").groupBy("__full", "__id").agg(F.count("*").alias("__n")), "exact-copies")
-    groups = same.groupBy("__full").agg(F.max("__id").alias("keep_id"), F.sum("__n").alias("group_size"))
+    groups = materialize(same.groupBy("__full").agg(F.max("__id").alias("keep_id"), F.sum("__n").alias("group_size")), "exact-groups")
     several = same.join(groups, "__full").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     several = several.select("__id", "keep_id", "group_size", (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__i") == 1)).alias("kept"), F.col("__full").alias("text_sha256"))
     out = single.unionByName(several).withColumnRenamed("__id", id_col)
