@@ -9,7 +9,9 @@ from .common import table
 from .exact_dedup import exact_groups
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .packing import pack_documents
 from .quality_rules import quality_counts
+from .secret_scan import scan_secrets
 from .simhash_dedup import simhash_components
 from .url_filter import filter_urls
 
@@ -31,6 +33,21 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -44,6 +61,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
