@@ -11,6 +11,7 @@ from .html_extract import extract_pages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .piece_codec import encode_digests
 from .quality_rules import quality_counts
 from .secret_scan import scan_secrets
 from .simhash_dedup import simhash_components
@@ -30,6 +31,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
