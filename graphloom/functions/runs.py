@@ -63,9 +63,11 @@ def parse_pairs(line: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """D-HH:MM:SS, rounded up to whole minutes."""
-    minutes = F.ceil(seconds / 60).cast("long")
-    return F.format_string("%d-%02d:%02d:00", F.floor(minutes / 1440).cast("long"), F.floor(F.pmod(minutes, F.lit(1440)) / 60).cast("long"), F.pmod(minutes, F.lit(60)).cast("long"))
+    """HH:MM:SS, after the days and a dash if there are any."""
+    part = lambda size, most: F.lpad(F.pmod(F.floor(seconds / size), F.lit(most)).cast("string"), 2, "0")
+    clock = F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
+    days = F.floor(seconds / 86400)
+    return F.when(days > 0, F.concat_ws("-", days.cast("string"), clock)).otherwise(clock)
 
 
 def stats(value: Column, prefix: str) -> list[Column]:

@@ -110,7 +110,7 @@ def pagerank(graph: Graph, alpha: float = ALPHA, tolerance: float = TOLERANCE, m
         new = F.when(F.col("active"), F.lit(1 - alpha) + F.lit(alpha) * F.coalesce("pulled", F.lit(0.0))).otherwise(F.col("rank"))
         return both.select("id", new.alias("rank"), (F.col("active") & (F.abs(new - F.col("rank")) >= tolerance)).alias("changed"), F.lit(False).alias("first"), "active", F.abs(new - F.col("rank")).alias("delta"))
 
-    metrics = {"active": F.count_if("active"), "changed": F.count_if("changed"), "count_update": F.count_if("delta <> 0"), "sum_abs_delta": F.coalesce(F.sum("delta"), F.lit(0.0))}
+    metrics = {"active": F.count_if("active"), "changed": F.count_if("changed"), "count_update": F.count_if(F.col("delta") != 0), "sum_abs_delta": F.coalesce(F.sum("delta"), F.lit(0.0))}
     loop = Fixpoint(step, metrics, lambda m: m["changed"] > 0, max_rounds, "pagerank")
     try:
         start = graph.vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(False).alias("changed"), F.lit(True).alias("first"))
