@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, let, text_of
 
 #: What separates words, and the phrases with their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,20 +70,20 @@ def templates() -> list[tuple[int, str, bool, list[str], int]]:
     return [(i, label, is_base, text.split(), PHRASE_GRAM if is_base else NOTICE_GRAM) for i, (label, is_base, text) in enumerate(base + more)]
 
 
-def _grams(words: Column) -> tuple[Column, Column]:
-    def pairs(items: Column, step: int) -> Column:
-        return F.zip_with(items, F.slice(items, F.lit(step + 1), F.size(items)), lambda a, b: F.xxhash64(a, b))
+def _pairs(items: Column, step: int) -> Column:
+    return F.zip_with(items, F.slice(items, F.lit(step + 1), F.size(items)), lambda a, b: F.xxhash64(a, b))
 
-    two = pairs(words, 1)
-    return two, pairs(two, 2)
+
+def _grams(words: Column, body) -> Column:
+    """``body`` of the hashes of pairs and of fours that start at each word; each is computed once."""
+    return let(_pairs(words, 1), lambda two: let(_pairs(two, 2), lambda four: body(two, four)))
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
     """A row for each gram of each template, and the sentinel that each document hits once."""
     schema = T.StructType([T.StructField("__tid", T.IntegerType()), T.StructField("__words", T.ArrayType(T.StringType())), T.StructField("__k", T.IntegerType())])
     rows = spark.createDataFrame([(i, words, k) for i, _, _, words, k in templates()], schema)
-    two, four = _grams(F.col("__words"))
-    rows = rows.withColumn("__g", F.when(F.col("__k") == PHRASE_GRAM, two).otherwise(four))
+    rows = rows.withColumn("__g", _grams(F.col("__words"), lambda two, four: F.when(F.col("__k") == PHRASE_GRAM, two).otherwise(four)))
     rows = rows.withColumn("__g", F.slice("__g", F.lit(1), F.size("__words") - F.col("__k") + 1))
     rows = rows.select("__tid", "__k", "__words", F.posexplode("__g").alias("__t", "__gram"))
     rows = rows.select("__gram", "__tid", "__k", "__t", F.slice("__words", F.col("__t") + 1, F.col("__k")).alias("__has"))
@@ -94,9 +94,10 @@ def _votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified gram hits per (document, template, diagonal); template -1 counts the document's rows."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__row"), F.array_remove(F.split(ascii_lower(text), SEPARATORS), "").alias("__w"))
-    two, four = _grams(F.col("__w"))
-    rows = rows.select("__id", "__row", "__w", F.size("__w").alias("__n"), F.concat(F.array(F.lit(0).cast("long")), two, four).alias("__grams"))
-    hits = rows.select("__id", "__row", "__n", "__w", F.posexplode("__grams").alias("__p", "__gram")).join(F.broadcast(template_grams(docs.sparkSession)), "__gram")
+    grams = _grams(F.col("__w"), lambda two, four: F.concat(F.array(F.lit(0).cast("long")), two, four))
+    rows = rows.select("__id", "__row", "__w", F.size("__w").alias("__n"), grams.alias("__grams"))
+    # The arrays are never empty; the outer form keeps the optimizer from computing them twice to test for that.
+    hits = rows.select("__id", "__row", "__n", "__w", F.posexplode_outer("__grams").alias("__p", "__gram")).join(F.broadcast(template_grams(docs.sparkSession)), "__gram")
     hits = hits.withColumn("__p", F.when(F.col("__p") > F.col("__n"), F.col("__p") - F.col("__n")).otherwise(F.col("__p")) - 1)
     hits = hits.where((F.col("__tid") < 0) | (F.slice("__w", F.greatest(F.col("__p"), F.lit(0)) + 1, F.col("__k")) == F.col("__has")))
     return hits.groupBy("__id", "__row", "__n", "__tid", (F.col("__p") - F.col("__t")).alias("__d")).agg(F.count("*").alias("__v"), F.min("__p").alias("__lo"), F.max(F.col("__p") + F.col("__k")).alias("__hi"))
