@@ -16,9 +16,10 @@ ODD_SPACE = re.compile("[\x1c-\x1f᠎​﻿]")
 class WordTokenizer:
     """Token ids as by ``tokenizers`` for a file of the word kind, without special tokens.
 
-    Its words end at white space, so each distinct chunk between white space is tokenized once and then looked up. New
-    chunks of one word, or a word and a mark, go to the tokenizer together; each word ends in a piece of its own kind, which
-    tells the chunks apart again. Strings of special tokens are ordinary text.
+    Its words end at white space, so each distinct chunk between white space is tokenized once and then looked up. A
+    chunk of letters, with or without a mark, is its lower-cased word's ids and the mark's. New words go to the tokenizer
+    together; each ends in a piece of its own kind, which tells them apart again. Strings of special tokens are ordinary
+    text.
     """
 
     def __init__(self, path: str):
@@ -29,28 +30,35 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = {mark: self._ids(mark).tobytes() for mark in ["", *".,!?;:"]}
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, chunks: list[str]) -> None:
-        plain, words = [], []
+        plain, new = [], set()
         for chunk in chunks:
-            n = 1 if chunk.isalpha() else 2 if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() else 0
+            mark = "" if chunk.isalpha() else chunk[-1]
+            word = chunk[: len(chunk) - len(mark)]
             # Marks of other scripts may count as letters for one side only; such chunks go one by one.
-            if n and max(chunk) < "\u0250" and "\u0130" not in chunk:
-                plain.append(chunk)
-                words.append(n)
+            if mark in ".,!?;:" and word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                word = word.lower()
+                plain.append((chunk, word, mark))
+                if word not in self.cache:
+                    new.add(word)
             else:
                 self.cache[chunk] = self._ids(chunk).tobytes()
-        for at in range(0, len(plain), 10_000):
-            ids = self._ids(" ".join(plain[at : at + 10_000]))
-            last = np.flatnonzero(self.ends[ids])[np.cumsum(words[at : at + 10_000]) - 1] + 1
+        words = list(new)
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            ids = self._ids(" ".join(part))
             raw, low = ids.tobytes(), 0
-            for chunk, high in zip(plain[at : at + 10_000], (last * 4).tolist()):
-                self.cache[chunk] = raw[low:high]
+            for word, high in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()):
+                self.cache[word] = raw[low:high]
                 low = high
+        for chunk, word, mark in plain:
+            self.cache[chunk] = self.cache[word] + self.marks[mark]
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         odd = {i: t for i, t in enumerate(texts) if t and ODD_SPACE.search(t)}
