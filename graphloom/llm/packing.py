@@ -31,6 +31,8 @@ from .common import materialize
 from .word_tokens import tokenizer_for
 
 CAPACITY, END_TOKEN = 4096, 1
+#: Texts that a Python worker has in pieces at a time.
+AT_ONCE = 256
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
@@ -40,7 +42,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, task = tokenizer_for(tokenizer_path), Counter(), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             rows = []
             ids_of = batch.column(0).to_pylist()
             for doc_id, ids in zip(ids_of, tokenizer.encode_many(batch.column(1).to_pylist())):
