@@ -23,8 +23,8 @@ from .common import SPACES, let, split_words, text_of
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEAT_PERCENT = 20, 30
-#: Rows of the sample from which the order of the rules is estimated.
-SAMPLE_ROWS = 2000
+#: Rows of the sample from which the order of the rules is estimated, and the longest text it takes.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
 
 
 def count_symbols(text: Column, chars: str = SYMBOLS) -> Column:
@@ -92,8 +92,13 @@ MORE_RULES = (
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by falling share rejected per second, both measured on ``sample_rows`` rows."""
-    sample = docs.select(text_of(text_col).alias("__text")).limit(sample_rows).persist()
+    """Rules by falling share rejected per second, both measured on ``sample_rows`` rows.
+
+    The sample is bounded in rows and characters and is taken partition by partition until it is full, so it costs the same
+    for every input.
+    """
+    texts = docs.select(text_of(text_col).alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame(texts, "__text string").coalesce(1).persist()
     try:
         words = F.array(split_words(F.col("__text")))
         flags = {r.name: _rejects(r, F.col("__text"), words) for r in rules}
