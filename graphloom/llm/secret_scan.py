@@ -2,9 +2,9 @@
 
 Every layer of a text is scanned for secrets, and for regions that decode: URL escapes, Unicode and character-reference
 escapes, base64, and compressed bytes (gzip, zlib) inside base64. What a region decodes to is a layer of its own and joins
-the worklist, until no layer decodes further; layers seen before are not entered again, which ends cycles. A secret found
-in a layer is mapped to the text: character by character through escapes, and to the whole encoded region through base64
-and compression.
+the worklist, until no layer decodes further. A decoded text is entered once, which ends cycles, and what it holds counts
+for every region that yields it. A secret found in a layer is mapped to the text: character by character through escapes,
+and to the whole encoded region through base64 and compression.
 
 Defined cases: a null text is empty and has no spans; overlapping kinds all count; rows may repeat; an empty table gives an
 empty result; extra columns are ignored by ``scan_secrets`` and kept by ``redact_secrets``. A compressed layer is inflated
@@ -19,8 +19,8 @@ import html
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -142,19 +142,15 @@ def _decode_base64(run: str) -> tuple[str, bool] | None:
     return text, cut
 
 
-def find_secrets(text: str | None) -> list[Span]:
-    """All spans (start, end, kind) in ``text``, of every layer, sorted and without repeats."""
-    text = text or ""
-    found = set(_scan(text))
-    seen, work = {text}, deque([(text, None)])  # a layer, and what maps its places to the text
-    while work:
-        layer, to_text = work.popleft()
-        if "%" in layer or "\\" in layer or "&" in layer:
-            got = _unescape(layer)
-            if got and got[0] not in seen:
-                seen.add(got[0])
-                work.append((got[0], _through(got[1], to_text)))
-                found |= _mapped(_scan(got[0]), work[-1][1])
+def _visit(layer: str, found: set[Span], regions: list[tuple[int, int, bytes]]) -> Iterator[tuple[bytes, str]]:
+    """Scan a layer and the layers its escapes give, all in places of ``layer``.
+
+    Fills the secrets ``found`` and the encoded ``regions`` (start, end, key of what it decodes to); yields each region's
+    key and decoded text, one at a time.
+    """
+    to_layer = None
+    while True:
+        found |= _mapped(_scan(layer), to_layer)
         for m in BASE64.finditer(layer):
             run = m[0]
             # Words of natural text have no digit or no change of case inside; nothing to decode there.
@@ -163,17 +159,58 @@ def find_secrets(text: str | None) -> list[Span]:
             got = _decode_base64(run)
             if not got:
                 continue
-            low, high = _place(m.start(), m.end(), to_text)
+            low, high = _place(m.start(), m.end(), to_layer)
             if got[1]:
                 found.add((low, high, "bomb"))
-            if got[0] not in seen:
-                seen.add(got[0])
-                whole = [(0, len(got[0]), low, high, True)]
-                work.append((got[0], whole))
-                found |= _mapped(_scan(got[0]), whole)
+            regions.append((low, high, _key(got[0])))
+            yield regions[-1][2], got[0]
+        got = _unescape(layer) if "%" in layer or "\\" in layer or "&" in layer else None
+        if not got:  # every escape is longer than what it stands for, so this comes
+            return
+        layer, to_layer = got[0], _through(got[1], to_layer)
+
+
+def _key(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def find_secrets(text: str | None) -> list[Span]:
+    """All spans (start, end, kind) in ``text``, of every layer, sorted and without repeats."""
+    text = text or ""
+    found, regions = set(), []
+    layers = {_key(text): (found, regions)}  # each decoded text is entered once, however many regions yield it
+    work = [_visit(text, found, regions)]
+    while work:
+        for key, decoded in work[-1]:
+            if key not in layers:
+                layers[key] = set(), []
+                work.append(_visit(decoded, *layers[key]))
+                break
+        else:
+            work.pop()
+    if regions:
+        kinds = _kinds_within(layers)
+        found |= {(low, high, kind) for low, high, key in regions for kind in kinds[key]}
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _kinds_within(layers: dict) -> dict[bytes, set[str]]:
+    """The kinds that each layer holds, its own and those of all it leads to; layers may lead to each other."""
+    kinds = {key: {kind for _, _, kind in found} for key, (found, _) in layers.items()}
+    above: dict[bytes, set[bytes]] = {key: set() for key in layers}
+    for key, (_, regions) in layers.items():
+        for _, _, inner in regions:
+            above[inner].add(key)
+    work = [key for key in layers if kinds[key]]
+    while work:
+        key = work.pop()
+        for outer in above[key]:
+            if not kinds[key] <= kinds[outer]:
+                kinds[outer] |= kinds[key]
+                work.append(outer)
+    return kinds
+
+
 def _place(start: int, end: int, to_text: list | None) -> tuple[int, int]:
     """The part of the text that a part of a layer comes from; partly covered encoded pieces count whole."""
     if to_text is None:
@@ -197,7 +234,7 @@ def _through(pieces: list, to_text: list | None) -> list:
     return out
 
 
-def _mapped(spans: list[Span], to_text: list) -> set[Span]:
+def _mapped(spans: list[Span], to_text: list | None) -> set[Span]:
     return {(*_place(a, b, to_text), kind) for a, b, kind in spans}
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import urllib.parse
+import zlib
 from collections import Counter
 
 import pytest
@@ -178,6 +179,16 @@ def test_layers():
     assert spans(base64.b64encode(b"nothing to see here at all").decode()) == []
 
 
+def test_repeated_regions_all_count():
+    plain = base64.b64encode(b"password=hunter2x").decode()
+    packed = base64.b64encode(zlib.compress(b"token: abcdef123")).decode()
+    text = f"a {plain} b {packed} c {plain} d {packed} e"
+    assert spans(text) == [(plain, "assign"), (packed, "assign")] * 2
+    assert secret_scan.redact(text) == "a [SECRET] b [SECRET] c [SECRET] d [SECRET] e"
+    outer = base64.b64encode(f"x {plain} y {plain}".encode()).decode()
+    assert spans(f"{plain} {outer} {outer}") == [(plain, "assign"), (outer, "assign"), (outer, "assign")]
+
+
 def test_inflating_is_bounded(monkeypatch):
     monkeypatch.setattr(secret_scan, "MOST_INFLATED", 1000)
     bomb = base64.b64encode(gzip.compress(b"password=hunter2x " + b"a " * 100_000)).decode()
