@@ -1,7 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 Every layer of a text is scanned for secrets, and for regions that decode: URL escapes, Unicode and character-reference
-escapes, base64, and compressed bytes (gzip, zlib) inside base64. What a region decodes to is a layer of its own and joins
+escapes, base64 of either alphabet, and compressed bytes (gzip, zlib) inside base64. Base64 is tried from each of the four
+places where a quad may start, for what stands before it may look like base64, and over line ends; bytes that are not UTF-8
+do not hide the rest. What a region decodes to is a layer of its own and joins
 the worklist, until no layer decodes further. A decoded text is entered once, which ends cycles, and what it holds counts
 for every region that yields it. A secret found in a layer is mapped to the text: character by character through escapes,
 and to the whole encoded region through base64 and compression.
@@ -14,7 +16,6 @@ up to ``MOST_INFLATED`` bytes; one that claims more is scanned that far and repo
 from __future__ import annotations
 
 import base64
-import binascii
 import html
 import re
 import zlib
@@ -43,9 +44,17 @@ LEAST_VALUE = 6
 MARKS = {"pem": "-----BEGIN", "forge": "gh", "chat": "xox", "jwt": "eyJ"}
 
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos|equals|colon);")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-LEAST_PRINTABLE = 0.95
+#: Runs of both base64 alphabets; breaks inside wrapped runs.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAP = re.compile(r"(?<=[A-Za-z0-9+/_-])[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+LEAST_RUN = 16
+#: Where compressed bytes may begin.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 MOST_INFLATED = 64 << 20
+#: What a decoded text must have for a secret, an escape or a further run to be in it.
+SOMETHING = re.compile(r"[A-Za-z0-9+/_-]{16}|(?:password|passwd|secret|token|api_?key)[\"' :=]|[%\\&\n]|xox|eyJ|-----BEGIN", re.I | re.A)
+PLAIN = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, str]
 
@@ -108,7 +117,8 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     return "".join(out), pieces
 
 
-def _inflate(raw: bytes) -> tuple[bytes, bool] | None:
+def _inflate(raw: bytes) -> tuple[bytes, bool, bool] | None:
+    """What can be inflated at the start of ``raw``, whether that was cut off, and whether the stream ended."""
     if raw[:2] != b"\x1f\x8b" and (len(raw) < 2 or raw[0] & 0x0F != 8 or (raw[0] << 8 | raw[1]) % 31):
         return None
     machine = zlib.decompressobj(wbits=zlib.MAX_WBITS | 32)
@@ -116,30 +126,50 @@ def _inflate(raw: bytes) -> tuple[bytes, bool] | None:
         data = machine.decompress(raw, MOST_INFLATED)
     except zlib.error:
         return None
-    return data, bool(machine.unconsumed_tail)
-
-
-def _decode_base64(run: str) -> tuple[str, bool] | None:
-    """Text inside a base64 run, inflated if it is compressed; and whether inflating was cut off."""
-    bare = run.rstrip("=")
-    if len(bare) % 4 == 1 or bare.isdigit():
-        return None
-    try:
-        raw = base64.b64decode(bare + "=" * (-len(bare) % 4), altchars=b"-_" if "-" in bare or "_" in bare else None)
-    except (binascii.Error, ValueError):
-        return None
-    cut = False
-    while got := _inflate(raw):
-        raw, cut = got[0], cut or got[1]
-        if cut:
-            break
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\n\r\t" for c in text) < LEAST_PRINTABLE * len(text):
-        return None
-    return text, cut
+    return (data, bool(machine.unconsumed_tail), machine.eof) if data else None
+
+
+def _decodings(run: str) -> Iterator[tuple[str, bool, bool]]:
+    """Texts inside a base64 run, at each of the four places a quad can start, and of compressed bytes anywhere in them;
+    whether inflating was cut off; and whether a compressed stream lacks its end."""
+    bare = run.rstrip("=").translate(PLAIN)
+    for skip in range(4):
+        part = bare[skip:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        starts = {m.start() for m in PACKED.finditer(raw)} | {0}
+        for start in sorted(starts):
+            data, cut, ended, seen = raw[start:], False, True, set()
+            while (got := _inflate(data)) and (key := _key(data)) not in seen:
+                seen.add(key)
+                data, cut, ended = got[0], cut or got[1], ended and got[2]
+                if cut:
+                    break
+            if seen:
+                yield data.decode("utf-8", "replace"), cut, not ended
+        yield raw.decode("utf-8", "replace"), False, False
+
+
+def _is_word(run: str) -> bool:
+    """Words of natural text have no digit or no change of case inside; nothing to decode there."""
+    return run.isalpha() and run[1:].islower()
+
+
+def _wrapped(layer: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of base64 characters that go on over line ends: the places of their lines' parts."""
+    block: list[tuple[int, int]] = []
+    at = 0
+    for m in WRAP.finditer(layer):
+        if not block or block[-1][1] != m.start():
+            if block:
+                yield block
+            line = layer[max(at, layer.rfind("\n", 0, m.start()) + 1) : m.start()]
+            block = [(m.start() - len(line) + len(line.rstrip(ALPHABET)), m.start())]
+        block.append(m.span(1))
+        at = m.end()
+    if block:
+        yield block
 
 
 def _visit(layer: str, found: set[Span], regions: list[tuple[int, int, bytes]]) -> Iterator[tuple[bytes, str]]:
@@ -151,27 +181,70 @@ def _visit(layer: str, found: set[Span], regions: list[tuple[int, int, bytes]])
     to_layer = None
     while True:
         found |= _mapped(_scan(layer), to_layer)
-        for m in BASE64.finditer(layer):
-            run = m[0]
-            # Words of natural text have no digit or no change of case inside; nothing to decode there.
-            if run.isalpha() and run[1:].islower():
-                continue
-            got = _decode_base64(run)
-            if not got:
-                continue
-            low, high = _place(m.start(), m.end(), to_layer)
-            if got[1]:
-                found.add((low, high, "bomb"))
-            regions.append((low, high, _key(got[0])))
-            yield regions[-1][2], got[0]
+        for start, end, run in _runs(layer):
+            for text, cut, _ in _decodings(run):
+                low, high = _place(start, end, to_layer)
+                if cut:
+                    found.add((low, high, "bomb"))
+                if _may_hold(text):
+                    regions.append((low, high, _key(text)))
+                    yield regions[-1][2], text
         got = _unescape(layer) if "%" in layer or "\\" in layer or "&" in layer else None
         if not got:  # every escape is longer than what it stands for, so this comes
             return
         layer, to_layer = got[0], _through(got[1], to_layer)
 
 
-def _key(text: str) -> bytes:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _may_hold(text: str) -> bool:
+    """Whether there may be anything to find or to decode in a text; in most misaligned ones there is not."""
+    return bool(SOMETHING.search(text))
+
+
+def _hits(run: str) -> set:
+    """What a run's decodings show at once: secrets, further runs, and streams without an end."""
+    out = set()
+    for text, cut, broken in _decodings(run):
+        out |= {(kind, text[a:b]) for a, b, kind in _scan(text)} | {("run", m[0]) for m in BASE64.finditer(text)}
+        out |= {("escape", m[0]) for m in ESCAPES.finditer(text)}
+        if cut:
+            out.add(("bomb", ""))
+        if broken:
+            out.add(("broken", ""))
+    return out
+
+
+def _runs(layer: str) -> list[tuple[int, int, str]]:
+    """(start, end, base64 characters) of the regions to decode: single runs, and runs wrapped at line ends where their
+    lines by themselves show less. A wrapped run takes the place of its lines."""
+    single = [(m.start(), m.end(), m[0]) for m in BASE64.finditer(layer) if not _is_word(m[0])]
+    if "\n" not in layer:
+        return single
+    taken: list[tuple[int, int]] = []
+    for block in _wrapped(layer):
+        parts = [layer[a:b] for a, b in block]
+        if sum(map(len, parts)) < LEAST_RUN or all(map(_is_word, parts)):
+            continue
+        apart = set().union(*(_hits(part) for part in parts if len(part) >= LEAST_RUN and not _is_word(part)))
+        joined = _hits("".join(parts))
+        if {h for h in joined if h[0] != "broken"} <= apart and ("broken", "") not in apart - joined:
+            continue
+        # A word before or after belongs to the run only if something is lost without it.
+        while len(parts) > 1 and _is_word(parts[0]) and joined <= _hits("".join(parts[1:])):
+            del parts[0], block[0]
+        while len(parts) > 1 and _is_word(parts[-1]) and joined <= _hits("".join(parts[:-1])):
+            del parts[-1], block[-1]
+        single.append((block[0][0], block[-1][1], "".join(parts)))
+        if apart - {("broken", "")} <= joined:
+            taken.append((block[0][0], block[-1][1]))
+    if taken:
+        starts = [a for a, _ in taken]
+        inside = lambda a, b: (i := bisect_right(starts, a)) and b <= taken[i - 1][1] and (a, b) != taken[i - 1]
+        single = [r for r in single if not inside(r[0], r[1])]
+    return sorted(single)
+
+
+def _key(layer: str | bytes) -> bytes:
+    return blake2b(layer.encode("utf-8", "surrogatepass") if isinstance(layer, str) else layer, digest_size=16).digest()
 
 
 def find_secrets(text: str | None) -> list[Span]:

@@ -189,6 +189,34 @@ def test_repeated_regions_all_count():
     assert spans(f"{plain} {outer} {outer}") == [(plain, "assign"), (outer, "assign"), (outer, "assign")]
 
 
+def test_base64_is_found_wherever_it_starts():
+    inner = b"password=hunter2secret"
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        plain, packed = encode(inner).decode().rstrip("="), encode(zlib.compress(inner)).decode().rstrip("=")
+        for code in (plain, packed):
+            for glue in ("/", "/a/", "/to/", "abc", "x-", "long_name_"):
+                assert spans(f"see {glue}{code} end") == [(glue + code, "assign")]
+    r = random.Random(3)
+    for _ in range(200):  # - and _ at any place
+        code = base64.urlsafe_b64encode(zlib.compress(inner + b" " + r.randbytes(r.randrange(200)))).decode()
+        assert spans(f"k {code} z") == [(code, "assign")]
+    code = base64.b64encode(inner + b" \xff\xfe\x00" + bytes(200)).decode()
+    assert spans(f"k {code} z") == [(code, "assign")]
+
+
+def test_base64_wrapped_at_line_ends():
+    r = random.Random(4)
+    noise = " ".join(str(r.random()) for _ in range(30)).encode()
+    for end in ("\n", "\r\n", "\n    "):
+        for raw in (b"z" * 50 + b" password=hunter2secret", zlib.compress(noise + b" token=abcdef123 " + noise), gzip.compress(noise + b" token=abcdef123")):
+            code = base64.encodebytes(raw).decode().strip().replace("\n", end)
+            assert spans(f"see: {code}\nend") == [(code, "assign")]
+            assert "[SECRET]" in secret_scan.redact(f"see: {code}\nend")
+    rows = [base64.b64encode(f" token={w * 3}; ".encode()).decode() for w in ("abc", "def", "ghi")]  # one by one, not wrapped
+    assert spans("\n".join(rows)) == [(row, "assign") for row in rows]
+    assert spans("a internationalization\nresponsibility of\nothers") == []
+
+
 def test_inflating_is_bounded(monkeypatch):
     monkeypatch.setattr(secret_scan, "MOST_INFLATED", 1000)
     bomb = base64.b64encode(gzip.compress(b"password=hunter2x " + b"a " * 100_000)).decode()
