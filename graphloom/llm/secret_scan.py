@@ -10,18 +10,21 @@ and to the whole encoded region through base64 and compression.
 
 Defined cases: a null text is empty and has no spans; overlapping kinds all count; rows may repeat; an empty table gives an
 empty result; extra columns are ignored by ``scan_secrets`` and kept by ``redact_secrets``. A compressed layer is inflated
-up to ``MOST_INFLATED`` bytes; one that claims more is scanned that far and reported as a span of kind ``bomb``.
+in parts of ``MOST_INFLATED`` bytes, all its members; one that claims more is read on and reported as a span of kind
+``bomb``. Inflating ends only where layers inside layers claim more than one compression of the whole text could.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import html
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +55,8 @@ LEAST_RUN = 16
 #: Where compressed bytes may begin.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 MOST_INFLATED = 64 << 20
+#: How many times its size a compressed stream can claim.
+MOST_RATIO = 1032
 #: What a decoded text must have for a secret, an escape or a further run to be in it.
 SOMETHING = re.compile(r"[A-Za-z0-9+/_-]{16}|(?:password|passwd|secret|token|api_?key)[\"' :=]|[%\\&\n]|xox|eyJ|-----BEGIN", re.I | re.A)
 PLAIN = str.maketrans("-_", "+/")
@@ -117,37 +122,88 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     return "".join(out), pieces
 
 
-def _inflate(raw: bytes) -> tuple[bytes, bool, bool] | None:
-    """What can be inflated at the start of ``raw``, whether that was cut off, and whether the stream ended."""
-    if raw[:2] != b"\x1f\x8b" and (len(raw) < 2 or raw[0] & 0x0F != 8 or (raw[0] << 8 | raw[1]) % 31):
-        return None
-    machine = zlib.decompressobj(wbits=zlib.MAX_WBITS | 32)
-    try:
-        data = machine.decompress(raw, MOST_INFLATED)
-    except zlib.error:
-        return None
-    return (data, bool(machine.unconsumed_tail), machine.eof) if data else None
+def _is_packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 1 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+class _Inflated:
+    """The bytes of compressed ``pieces``, all members, in pieces of at most ``MOST_INFLATED``; what comes before an error
+    counts. ``budget`` holds how many bytes may still come."""
+
+    def __init__(self, pieces: Iterator[bytes], budget: list[int]):
+        self.pieces, self.budget, self.size, self.ended = pieces, budget, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        machine = None
+        for piece in self.pieces:
+            while piece:
+                machine = machine or zlib.decompressobj(wbits=zlib.MAX_WBITS | 32)
+                out = b"-"
+                while out and not machine.eof:
+                    try:
+                        out = machine.decompress(piece, MOST_INFLATED)
+                    except zlib.error:
+                        return
+                    piece = machine.unconsumed_tail
+                    if out:
+                        self.size += len(out)
+                        self.budget[0] -= len(out)
+                        yield out
+                        if self.budget[0] < 0:
+                            return
+                if machine.eof:
+                    piece, machine = machine.unused_data.lstrip(b"\0"), None
+                    if not _is_packed(piece):
+                        piece = b""
+        self.ended = machine is None
+
+
+def _unpacked(raw: bytes, budget: list[int]) -> Iterator[tuple[str, bool, bool]]:
+    """The text of compressed bytes, compressed once or more, in overlapping parts, as ``_decodings`` gives it."""
+    stages: list[_Inflated] = []
+    head, rest, seen = raw, iter(()), set()
+    while _is_packed(head) and (key := _key(head)) not in seen:
+        seen.add(key)
+        stage = _Inflated(chain([head], rest), budget)
+        pieces = iter(stage)
+        got = next(pieces, None)
+        if got is None:
+            break
+        stages.append(stage)
+        head, rest = got, pieces
+    if not stages:
+        return
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    text = ""
+    for piece in chain([head], rest):
+        if text:
+            at = max(len(text) - MOST_INFLATED // 4, 0)
+            text = text[max(len(text[:at].rstrip(ALPHABET)), len(text) - MOST_INFLATED, 0) :]
+        text += decoder.decode(piece)
+        yield text, _is_bomb(stages, budget), False
+    yield decoder.decode(b"", True), _is_bomb(stages, budget), not all(stage.ended for stage in stages)
+
 
+def _is_bomb(stages: list[_Inflated], budget: list[int]) -> bool:
+    return budget[0] < 0 or any(stage.size > MOST_INFLATED for stage in stages)
 
-def _decodings(run: str) -> Iterator[tuple[str, bool, bool]]:
+
+def _budget(text: str) -> list[int]:
+    """Bytes that a text may inflate to: all that one compression can claim, so that only bombs inside bombs are cut."""
+    return [MOST_INFLATED + MOST_RATIO * len(text)]
+
+
+def _decodings(run: str, budget: list[int]) -> Iterator[tuple[str, bool, bool]]:
     """Texts inside a base64 run, at each of the four places a quad can start, and of compressed bytes anywhere in them;
-    whether inflating was cut off; and whether a compressed stream lacks its end."""
+    whether they claim too much; and whether a compressed stream lacks its end."""
     bare = run.rstrip("=").translate(PLAIN)
     for skip in range(4):
         part = bare[skip:]
         if len(part) % 4 == 1:
             part = part[:-1]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        starts = {m.start() for m in PACKED.finditer(raw)} | {0}
-        for start in sorted(starts):
-            data, cut, ended, seen = raw[start:], False, True, set()
-            while (got := _inflate(data)) and (key := _key(data)) not in seen:
-                seen.add(key)
-                data, cut, ended = got[0], cut or got[1], ended and got[2]
-                if cut:
-                    break
-            if seen:
-                yield data.decode("utf-8", "replace"), cut, not ended
+        for start in sorted({m.start() for m in PACKED.finditer(raw)} | {0}):
+            yield from _unpacked(raw[start:], budget)
         yield raw.decode("utf-8", "replace"), False, False
 
 
@@ -172,7 +228,7 @@ def _wrapped(layer: str) -> Iterator[list[tuple[int, int]]]:
         yield block
 
 
-def _visit(layer: str, found: set[Span], regions: list[tuple[int, int, bytes]]) -> Iterator[tuple[bytes, str]]:
+def _visit(layer: str, found: set[Span], regions: list[tuple[int, int, bytes]], budget: list[int]) -> Iterator[tuple[bytes, str]]:
     """Scan a layer and the layers its escapes give, all in places of ``layer``.
 
     Fills the secrets ``found`` and the encoded ``regions`` (start, end, key of what it decodes to); yields each region's
@@ -182,7 +238,7 @@ def _visit(layer: str, found: set[Span], regions: list[tuple[int, int, bytes]])
     while True:
         found |= _mapped(_scan(layer), to_layer)
         for start, end, run in _runs(layer):
-            for text, cut, _ in _decodings(run):
+            for text, cut, _ in _decodings(run, budget):
                 low, high = _place(start, end, to_layer)
                 if cut:
                     found.add((low, high, "bomb"))
@@ -203,7 +259,7 @@ def _may_hold(text: str) -> bool:
 def _hits(run: str) -> set:
     """What a run's decodings show at once: secrets, further runs, and streams without an end."""
     out = set()
-    for text, cut, broken in _decodings(run):
+    for text, cut, broken in _decodings(run, _budget(run)):
         out |= {(kind, text[a:b]) for a, b, kind in _scan(text)} | {("run", m[0]) for m in BASE64.finditer(text)}
         out |= {("escape", m[0]) for m in ESCAPES.finditer(text)}
         if cut:
@@ -252,12 +308,13 @@ def find_secrets(text: str | None) -> list[Span]:
     text = text or ""
     found, regions = set(), []
     layers = {_key(text): (found, regions)}  # each decoded text is entered once, however many regions yield it
-    work = [_visit(text, found, regions)]
+    budget = _budget(text)
+    work = [_visit(text, found, regions, budget)]
     while work:
         for key, decoded in work[-1]:
             if key not in layers:
                 layers[key] = set(), []
-                work.append(_visit(decoded, *layers[key]))
+                work.append(_visit(decoded, *layers[key], budget))
                 break
         else:
             work.pop()

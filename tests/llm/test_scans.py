@@ -223,6 +223,21 @@ def test_inflating_is_bounded(monkeypatch):
     assert {k for _, k in spans(bomb)} == {"assign", "bomb"}
 
 
+def test_inflating_goes_on(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_INFLATED", 1000)
+    secret = b" password=hunter2x "
+    for size in (900, 990, 1000, 1010, 5000, 100_000):
+        code = base64.b64encode(gzip.compress(b"z " * (size // 2) + secret + b"z " * 3000)).decode()
+        assert spans(f"a {code} b") == [(code, "assign"), (code, "bomb")]
+    members = base64.b64encode(gzip.compress(b"first") + gzip.compress(b"token: abcdef123")).decode()
+    assert spans(members) == [(members, "assign")]
+    twice = base64.b64encode(gzip.compress(gzip.compress(random.Random(1).randbytes(3000) + secret))).decode()
+    assert (twice, "assign") in spans(twice)
+    for data in (bytes(5000), "é".encode() * 3000, b"z" + "é".encode() * 3000):  # no text, and characters at the border
+        code = base64.b64encode(zlib.compress(data)).decode()
+        assert spans(code) == [(code, "bomb")]
+
+
 def test_secret_tables(spark):
     rows = [(1, "token=abcdef1 clean"), (2, None), (3, ""), (4, "clean text"), (4, "clean text"), (None, "AKIA" + "A" * 20), (5, "w " * 60_000 + "f" * 30)]
     got = {(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base"]) for r in secret_scan.scan_secrets(docs(spark, rows)).collect()}
