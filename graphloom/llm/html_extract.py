@@ -5,14 +5,15 @@ the hashes of what they hold) and counted per host in Spark; subtrees that recur
 and are deleted. What is left of menus, headers, adverts and the like goes by its element or its class, then the article's
 blocks are written out.
 
-The counts are combined before their shuffle, so a host with very many pages never meets in one task. A subtree is template
-if ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of a host's pages have it; a host's template therefore has at most
-``1 / LEAST_SHARE`` times as many subtrees as its pages have on average. Hosts' templates are broadcast only after a count.
+A subtree is template if ``LEAST_PAGES`` different pages of a host have it, however many pages the host has: menus and
+notices of one section or language of a large host count too. The counts are combined before their shuffle, so a host with very many pages never meets in one task. If
+all hosts' templates are few, counted before, each worker gets them; else each page is dealt its own subtrees that are
+template.
 Inside an article, headings and paragraphs are prose and never count as template.
 
 Defined cases: a null or empty page gives the empty text; a page without article or main element is taken whole; unclosed
-and misplaced tags are closed where they must be; pages without a host share one template; rows may repeat, and repeated
-rows count as pages; an empty table gives an empty result; extra columns are ignored.
+and misplaced tags are closed where they must be; pages without a host share one template; rows may repeat, and equal
+pages of a host count once; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, materialize
 from .url_filter import url_parts
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
+LEAST_PAGES = 5
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -288,34 +289,46 @@ def extract_text(page: str | None, template: frozenset[int] | set[int] = frozens
     return "\n".join(lines)
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(__host, __template): the hashes of each host's template, from rows with __host and __html."""
+def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(__host, __page, __h), each page's subtrees, and (__host, __h), those that are template on their host; from rows with
+    __host, __page (a digest of the page) and __html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [[0, *subtree_hashes(page)] for page in batch.column(1).to_pylist()]  # 0 counts the page itself
+            hashes = [subtree_hashes(page) for page in batch.column(2).to_pylist()]
             sizes = [len(h) for h in hashes]
-            hosts = batch.column(0).take(pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64()))
-            yield pa.RecordBatch.from_arrays([hosts, pa.array([x for h in hashes for x in h], pa.int64())], ["__host", "__h"])
+            at = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for h in hashes for x in h], pa.int64())], ["__host", "__page", "__h"])
 
-    counted = pages.select("__host", "__html").mapInArrow(run, "__host string, __h long").groupBy("__host", "__h").agg(F.count("*").alias("__n"))
-    counted = materialize(counted.where(f"__h = 0 or __n >= {LEAST_PAGES}"), "html-counts")
-    sizes = counted.where("__h = 0").select("__host", F.col("__n").alias("__pages"))
-    often = counted.where("__h <> 0").join(sizes, "__host").where(F.col("__n") >= F.col("__pages") * LEAST_SHARE)
-    return materialize(often.groupBy("__host").agg(F.collect_list("__h").alias("__template")), "html-templates")
+    held = pages.select("__host", "__page", "__html").mapInArrow(run, "__host string, __page binary, __h long")
+    held = materialize(held.distinct(), "html-subtrees")  # copies of a page are one page
+    often = held.groupBy("__host", "__h").agg(F.count("*").alias("__n")).where(f"__n >= {LEAST_PAGES}").select("__host", "__h")
+    return held, materialize(often, "html-often")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: ``id_col``, ``url_col`` and text."""
     host, _ = url_parts(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("__host"), F.col(html_col).cast("string").alias("__html"))
-    templates = site_templates(rows)
-    held = templates.agg(F.sum(F.size("__template") + 1)).first()[0] or 0
-    both = rows.join(F.broadcast(templates) if held <= BROADCAST_ROWS else templates, "__host", "left").select("__id", "__url", "__html", "__template")
+    html = F.col(html_col).cast("string")
+    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host.alias("__host"), F.unhex(F.md5(html)).alias("__page"), html.alias("__html"))
+    held, often = site_templates(rows)
+    by_host: dict[str | None, pa.Array] = {}
+    if often.count() <= BROADCAST_ROWS:  # the workers get them all, so that pages are not shuffled
+        for batch in often.toArrow().group_by("__host").aggregate([("__h", "list")]).to_batches():
+            by_host.update(zip(batch.column("__host").to_pylist(), (pa.array(x) for x in batch.column("__h_list").to_pylist())))
+        both = rows.select("__id", "__url", "__html", "__host", F.lit(None).cast("array<long>").alias("__template"))
+    else:
+        found = held.join(often, ["__host", "__h"]).groupBy("__host", "__page").agg(F.collect_list("__h").alias("__template"))
+        both = rows.join(found, ["__host", "__page"], "left").select("__id", "__url", "__html", "__host", "__template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str | None, frozenset[int]] = {}
         for batch in batches:
-            texts = [extract_text(page, frozenset(t or ())) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for page, host, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if template is None and host in by_host and host not in sets:
+                    sets[host] = frozenset(by_host[host].to_pylist())
+                texts.append(extract_text(page, sets.get(host, frozenset()) if template is None else frozenset(template)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__url", "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[:2])

@@ -252,6 +252,16 @@ def test_secret_tables(spark):
 # --- HTML
 
 
+def test_template_of_a_part_of_a_large_host(spark):
+    """A notice on few of a host's many pages goes; what copies of one page share stays."""
+    notice = "<div><span>This section moves next month</span></div>"
+    rows = [(i, f"http://big.example/{i}", f"<body>{notice if i < 8 else ''}<div>own words {i}</div></body>") for i in range(300)]
+    rows += [(300 + i, "http://big.example/copy", "<body><div>one and the same page</div></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    assert got == {i: f"own words {i}" if i < 300 else "one and the same page" for i in range(309)}
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
