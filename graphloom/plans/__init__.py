@@ -1,6 +1,6 @@
 """Logical plans: graphs, the fixpoint driver and the graphs derived from relational tables."""
 
-from .fixpoint import Fixpoint, scratch
+from .fixpoint import Fixpoint, remove, scratch, scratch_path
 from .graph import Graph
 
-__all__ = ["Fixpoint", "Graph", "scratch"]
+__all__ = ["Fixpoint", "Graph", "remove", "scratch", "scratch_path"]

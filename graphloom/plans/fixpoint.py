@@ -7,6 +7,7 @@ job; the counts that end the loop and the per-round evidence are observed in tha
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -17,12 +18,20 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 MAX_ROUNDS = 1000
 
 
-def _path(spark: SparkSession, label: str) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all run here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints/graphloom"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graphloom-{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what is left there is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
@@ -31,7 +40,7 @@ def _path(spark: SparkSession, label: str) -> str:
 def scratch(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """``df`` written to the shared folder and read back, and the metrics of that write."""
     spark, seen = df.sparkSession, None
-    path = _path(spark, label)
+    path = scratch_path(spark, label)
     if metrics:
         seen = Observation()
         df.observe(seen, *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
@@ -41,7 +50,7 @@ def scratch(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, di
 
 
 def remove(df: DataFrame) -> None:
-    """Delete a table of the shared folder that no later plan reads."""
+    """Delete a table that ``scratch`` wrote and that no later plan reads."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/graphloom-" in name:
