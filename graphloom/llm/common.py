@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import remove as forget  # noqa: F401
+from ..plans.fixpoint import scratch
+
 #: The ASCII white space that separates words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -16,22 +22,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/checkpoints/graphloom"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+#: Bytes of text that a Python worker has in pieces at a time; a longer text comes alone.
+SLICE_BYTES = 8 << 20
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -39,19 +31,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     The copy outlives any executor, and later reads of it are deterministic.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graphloom-" in name:
-            where = jvm.org.apache.hadoop.fs.Path(name)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return scratch(df, label)[0]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices whose texts in ``column`` have ``most`` bytes together, or are one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < batch.num_rows:
+            to = max(int(np.searchsorted(ends, done + most, "right")), at + 1)
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Every round, each node takes the smallest label among itself and its neighbours (combined on the map side, so a node with
 very many neighbours never meets in one task) and then its label's label. Rounds are written to the shared folder, which
 cuts the lineage and survives lost executors; nothing but the number of changes reaches the driver.
+
+Defined cases: edges with a null end join nothing and are left out, like those from a node to itself; edges may repeat and
+stand in both directions; no edges give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from .common import forget, materialize
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, label): every node of an edge with the smallest node of its component."""
-    spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     both = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-edges")
     labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "cc-labels")
@@ -27,9 +29,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         jumped = nearer.join(jump, "label").select("node", F.col("far").alias("label"))
         after = materialize(jumped, "cc-labels")
         changed = after.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        forget(spark, nearer)
-        forget(spark, labels)
+        forget(nearer)
+        forget(labels)
         labels = after
         if not changed:
-            forget(spark, both)
+            forget(both)
             return labels
