@@ -3,8 +3,9 @@
 All rolling word k-grams of the documents are hashed and joined with the positions that the grams have in a fixed table of
 license templates. A hit at document word ``p`` and template word ``t`` votes for the diagonal ``p - t``. Votes are summed
 per (document, template, diagonal), neighbouring diagonals are merged, which bridges inserted or missing words, and the
-merged spans are verified against the words themselves. Short phrases use pairs of words and need every pair of their
-diagonal; notices use fours and need most of them.
+merged spans are verified: hits against the words themselves, and spans by how many different places of the template they
+hit, so that a part which is said twice counts once. Short phrases use pairs of words and need every pair of their diagonal;
+notices use fours and need most of them.
 
 The template table is a constant of this module (about a thousand grams), so it is broadcast; grams that no template has
 never leave the scan. A sentinel gram gives each document one row, so that one pass also carries the word counts.
@@ -67,6 +68,8 @@ def templates() -> list[tuple[int, str, bool, list[str], int]]:
     """(id, label, whether a base phrase, words, k)."""
     base = [(label, True, phrase) for phrase, label in PHRASES.items()]
     more = [(label, False, text) for label, texts in NOTICES.items() for text in texts]
+    if any(len(text.split()) > 63 for _, _, text in base + more):
+        raise ValueError("a template has at most 63 words: its places are the bits of a number")
     return [(i, label, is_base, text.split(), PHRASE_GRAM if is_base else NOTICE_GRAM) for i, (label, is_base, text) in enumerate(base + more)]
 
 
@@ -91,7 +94,8 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 
 def _votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Verified gram hits per (document, template, diagonal); template -1 counts the document's rows."""
+    """Gram hits per (document, template, diagonal), and the template's places they hit, a bit each; template -1 counts the
+    document's rows."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__row"), F.array_remove(F.split(ascii_lower(text), SEPARATORS), "").alias("__w"))
     grams = _grams(F.col("__w"), lambda two, four: F.concat(F.array(F.lit(0).cast("long")), two, four))
@@ -100,11 +104,12 @@ def _votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hits = rows.select("__id", "__row", "__n", "__w", F.posexplode_outer("__grams").alias("__p", "__gram")).join(F.broadcast(template_grams(docs.sparkSession)), "__gram")
     hits = hits.withColumn("__p", F.when(F.col("__p") > F.col("__n"), F.col("__p") - F.col("__n")).otherwise(F.col("__p")) - 1)
     hits = hits.where((F.col("__tid") < 0) | (F.slice("__w", F.greatest(F.col("__p"), F.lit(0)) + 1, F.col("__k")) == F.col("__has")))
-    return hits.groupBy("__id", "__row", "__n", "__tid", (F.col("__p") - F.col("__t")).alias("__d")).agg(F.count("*").alias("__v"), F.min("__p").alias("__lo"), F.max(F.col("__p") + F.col("__k")).alias("__hi"))
+    return hits.groupBy("__id", "__row", "__n", "__tid", (F.col("__p") - F.col("__t")).alias("__d")).agg(F.count("*").alias("__v"), F.bit_or(F.expr("shiftleft(1L, __t)")).alias("__hit"), F.min("__p").alias("__lo"), F.max(F.col("__p") + F.col("__k")).alias("__hi"))
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per (document, template, merged diagonals): first and last word, votes and share of the template's grams.
+    """Per (document, template, merged diagonals): first and last word, and how many of the template's grams they hit and
+    it has.
 
     Rows of template -1 stand for the documents themselves; ``__v`` is how many rows share (id, text).
     """
@@ -115,7 +120,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = F.col("__tid").isin([i for i, _, is_base, _, _ in known if is_base])
     apart = F.when(base, F.lit(1)).otherwise((F.col("__d") - F.lag("__d").over(by) > NEIGHBOURS).cast("int"))
     run = F.sum(F.coalesce(F.col("__new"), F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    spans = votes.withColumn("__new", apart).withColumn("__run", run).groupBy("__id", "__row", "__n", "__tid", "__run").agg(F.sum("__v").alias("__v"), F.min("__d").alias("__d"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    spans = votes.withColumn("__new", apart).withColumn("__run", run).groupBy("__id", "__row", "__n", "__tid", "__run").agg(F.sum("__v").alias("__v"), F.bit_count(F.bit_or("__hit")).alias("__hit"), F.min("__d").alias("__d"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     return spans.withColumn("__need", needed[F.col("__tid")])
 
 
@@ -129,14 +134,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_base = sum(is_base for _, _, is_base, _, _ in known)
     spans = license_spans(docs, id_col, text_col)
     doc = ["__id", "__row"]
-    # Equal rows vote together; their number, the sentinel's votes, divides them again.
+    # Equal rows vote together; their number is the sentinel's votes.
     whole = spans.groupBy(*doc).agg(
         F.max("__n").alias("__n"),
         F.max(F.when(F.col("__tid") < 0, F.col("__v"))).alias("__copies"),
-        F.collect_list(F.when(F.col("__tid") >= 0, F.struct("__lo", "__hi", "__tid", "__d", "__v", "__need"))).alias("__s"),
+        F.collect_list(F.when(F.col("__tid") >= 0, F.struct("__lo", "__hi", "__tid", "__d", "__hit", "__need"))).alias("__s"),
     )
-    share = lambda s: F.least(F.lit(1.0), s["__v"] / F.col("__copies") / s["__need"])
-    base = F.filter("__s", lambda s: (s["__tid"] < n_base) & (s["__v"] == s["__need"] * F.col("__copies")))
+    share = lambda s: s["__hit"] / s["__need"]
+    base = F.filter("__s", lambda s: (s["__tid"] < n_base) & (s["__hit"] == s["__need"]))
     more = F.filter("__s", lambda s: (s["__tid"] >= n_base) & (share(s) >= F.when(s["__need"] <= FEW_GRAMS, F.lit(1.0)).otherwise(F.lit(LEAST_SHARE))))
     found = whole.withColumns({"__base": base, "__more": more})
     found = found.withColumn("__all", F.array_sort(F.transform(F.concat("__base", "__more"), lambda s: F.struct(s["__lo"].cast("long").alias("start"), s["__hi"].cast("long").alias("end"), label[s["__tid"]].alias("label"), share(s).alias("share")))))
