@@ -1,17 +1,19 @@
 """URL filters: host and path rules, and a character language-model ratio for URLs no rule fits (DataFrame operations only).
 
-Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are fitted on a bounded sample of the
-URLs that the rules label, together with the fixed words below. Both store, for every context up to ``ORDER - 1``
-characters and next character, a probability interpolated with the next shorter context (Witten-Bell). A character is
-scored under the longest context of which a model has seen the continuation. A URL's score is the mean over its characters
-of log P(rejected) - log P(accepted); it is blocked above a threshold, calibrated so that at most ``FALSE_BLOCKS`` of the
-accepted sample's held-out part would be blocked.
-
-The gram table is built from ``SAMPLE`` URLs a class at most, so its size does not follow the corpus; it is broadcast only
-after a count, and joined by shuffle otherwise. Scores are computed once per distinct URL.
-
-Defined cases: a null URL or one without ``://`` has an empty host and path, no rule, and is allowed; rows may repeat; a
-class without samples leaves the fixed words alone; an empty table gives an empty result; extra columns are ignored.
+Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are fitted on all different URLs that
+the rules label, together with the fixed words below. Both store, for every context up to ``ORDER - 1`` characters and next
+character, a probability interpolated with the next shorter context (Witten-Bell). A character is scored under the longest
+context of which a model has seen the continuation. A URL's score is the mean over its characters of log P(rejected) -
+log P(accepted); it is blocked above a threshold, calibrated so that at most ``FALSE_BLOCKS`` of the accepted URLs that were
+held out would be blocked.
+
+Grams are counted on the map side before they are shuffled. The gram table grows with the URLs, up to the number of grams
+that the characters allow; it is broadcast only after a count, and joined by shuffle otherwise. Scores are computed once per
+distinct URL.
+
+Defined cases: a null URL or one without ``://`` has an empty host and path, no rule, and is allowed; a URL with a path alone
+is judged by it; rows may repeat, and a URL that labels many rows is learnt once; a class without labelled URLs leaves the
+fixed words alone; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +51,9 @@ RULES = (
 #: Words of hosts that are commonly accepted and rejected.
 ACCEPTED_WORDS = "blog news wiki docs library school university museum science history garden recipes travel weather journal archive"
 REJECTED_WORDS = "casino win bets free pills cheap ads track poker slots lottery viagra porn xxx adult sex loan payday bonus jackpot click banner tracker"
-#: The longest gram, the largest sample of a class, the share of accepted URLs that may be blocked, smoothing floor.
-ORDER, SAMPLE, FALSE_BLOCKS, ALPHABET = 4, 5_000, 0.01, 128
+#: The longest gram, one of how many labelled URLs is held out, the share of accepted ones that may be blocked, the smoothing
+#: floor, and the steps of a score in which the threshold is sought.
+ORDER, HELD_OUT, FALSE_BLOCKS, ALPHABET, STEPS = 4, 5, 0.01, 128, 1000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -81,14 +84,14 @@ def _grams(rows: DataFrame, keys: list[str], order: int) -> DataFrame:
     return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), last))).select(*keys, "__i", F.substr("__s", F.col("__i") + (ORDER - order), F.lit(order)).alias("__g"))
 
 
-def sample_urls(urls: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Columns __s and __bad: the fixed words, and the ``sample`` labelled URLs of each class that hash lowest."""
+def labelled_urls(urls: DataFrame) -> DataFrame:
+    """(__s, __bad, __held): the fixed words, and every different labelled URL; a share of the URLs is held out."""
     spark = urls.sparkSession
-    labelled = urls.where("rule is not null").select(_characters(F.concat("host", "path")).alias("__s"), (F.col("verdict") == "block").alias("__bad")).withColumn("__o", F.xxhash64("__s", F.lit(1)))
-    chosen = [labelled.where(F.col("__bad") == bad).orderBy("__o", "__s").limit(sample) for bad in (False, True)]
+    known = urls.where("rule is not null").select(_characters(F.concat("host", "path")).alias("__s"), (F.col("verdict") == "block").alias("__bad")).distinct()
+    known = known.withColumn("__held", F.pmod(F.xxhash64("__s"), F.lit(HELD_OUT)) == 0)
     words = [(w, bad) for text, bad in ((ACCEPTED_WORDS, False), (REJECTED_WORDS, True)) for w in text.split()]
-    fixed = spark.createDataFrame(words, "w string, bad boolean").select(F.explode(F.array_repeat(_characters(F.concat("w", F.lit(".example"))), 50)).alias("__s"), F.col("bad").alias("__bad"), F.lit(1).cast("long").alias("__o"))
-    return materialize(chosen[0].unionByName(chosen[1]).unionByName(fixed), "url-sample")
+    fixed = spark.createDataFrame(words, "w string, bad boolean").select(F.explode(F.array_repeat(_characters(F.concat("w", F.lit(".example"))), 50)).alias("__s"), F.col("bad").alias("__bad"), F.lit(False).alias("__held"))
+    return materialize(known.unionByName(fixed), "url-labelled")
 
 
 def fit_models(sample: DataFrame) -> DataFrame:
@@ -133,14 +136,21 @@ def score_strings(rows: DataFrame, model: DataFrame) -> DataFrame:
     return grams.groupBy("__key").agg(F.avg(F.coalesce(found, F.lit(0.0))).alias("score"))
 
 
-def fit_url_filter(urls: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]:
+def fit_url_filter(urls: DataFrame) -> tuple[DataFrame, float]:
     """The gram table and the calibrated threshold, from rows with host, path, rule and verdict."""
-    chosen = sample_urls(urls, sample)
-    held = F.pmod("__o", F.lit(5)) == 0
-    model = fit_models(chosen.where(~held))
-    scores = score_strings(chosen.where(held & ~F.col("__bad")).select(F.col("__o").alias("__key"), "__s").dropDuplicates(["__key"]), model)
-    cut = scores.agg(F.percentile("score", F.lit(1 - FALSE_BLOCKS))).first()[0]
-    return model, max(0.0, cut or 0.0)
+    chosen = labelled_urls(urls)
+    model = fit_models(chosen.where("not __held"))
+    scores = score_strings(chosen.where("__held and not __bad").select(F.col("__s").alias("__key"), "__s"), model)
+    # Scores are differences of logarithms that smoothing bounds, so there are few steps, however many URLs.
+    steps = scores.groupBy(F.ceil(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n")).collect()
+    spare = int(FALSE_BLOCKS * sum(n for _, n in steps))
+    cut = 0.0
+    for step, n in sorted(steps, reverse=True):
+        cut = step / STEPS
+        spare -= n
+        if spare < 0:
+            break
+    return model, max(0.0, cut)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
@@ -150,9 +160,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     urls = materialize(urls.select("__id", "host", "path", F.col("__r.rule").alias("rule"), F.col("__r.verdict").alias("verdict")), "urls")
     model, cut = fit_url_filter(urls)
     key = F.concat_ws("\x00", "host", "path")
-    open_urls = urls.where("rule is null and host <> ''").select(key.alias("__key"), _characters(F.concat("host", "path")).alias("__s")).distinct()
+    is_open = F.col("rule").isNull() & (F.concat("host", "path") != "")
+    open_urls = urls.where(is_open).select(key.alias("__key"), _characters(F.concat("host", "path")).alias("__s")).distinct()
     scores = materialize(score_strings(open_urls, model), "url-scores")
-    is_open = F.col("rule").isNull() & (F.col("host") != "")
     decided = urls.where(~is_open).withColumn("score", F.lit(None).cast("double"))
     judged = urls.where(is_open).withColumn("__key", key).join(scores, "__key").drop("__key").unionByName(decided)
     blocked = F.coalesce(F.col("score") > cut, F.lit(False))
