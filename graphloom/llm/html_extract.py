@@ -6,10 +6,12 @@ and are deleted. What is left of menus, headers, adverts and the like goes by it
 blocks are written out.
 
 A subtree is template if ``LEAST_PAGES`` different pages of a host have it, however many pages the host has: menus and
-notices of one section or language of a large host count too. The counts are combined before their shuffle, so a host with very many pages never meets in one task. If
-all hosts' templates are few, counted before, each worker gets them; else each page is dealt its own subtrees that are
-template.
-Inside an article, headings and paragraphs are prose and never count as template.
+notices of one section or language of a large host count too. The counts are combined before their shuffle, so a host with
+very many pages never meets in one task. If all hosts' templates are few, counted before, each worker gets them; else each
+page is dealt its own subtrees that are template.
+Inside an article, template is only what holds no heading, paragraph, quotation, item or cell with words of its own beside
+links, and has at most a quarter of the article's text, so that copies of an article under many URLs keep it. There, too,
+class words and the like drop an element only as a whole, not as part of a longer name.
 
 Defined cases: a null or empty page gives the empty text; a page without article or main element is taken whole; unclosed
 and misplaced tags are closed where they must be; pages without a host share one template; rows may repeat, and equal
@@ -59,6 +61,14 @@ MARKED = frozenset(
     "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations "
     "comment comments commentlist disqus replies reply respond pagination pager toolbar widget widgets login search searchbox skip complementary contentinfo alert hidden".split()
 )
+#: Words that add nothing in names such as ``comment-list``, and ids of readers' comments.
+NEUTRAL = frozenset("area bar block body box button buttons container content form group header heading icons inner item items link links list panel post posts section slot title wrap wrapper".split())
+COMMENT_IDS = frozenset("comment comments commentlist disqus_thread replies respond".split())
+#: Elements whose own words are prose of the article they stand in.
+PROSE_ITEMS = PROSE | frozenset("li dt dd td th figcaption".split())
+#: The largest part of an article's text that counts as template.
+MOST_OF_ARTICLE = 0.25
+QUOTE = re.compile(r"""=\s*(["'])""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -66,46 +76,63 @@ TOKEN = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "gone", "parts", "parent", "inside", "digest")
+    __slots__ = ("tag", "marks", "named", "gone", "parts", "parent", "inside", "digest", "words", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, marks: frozenset[str], gone: bool):
-        self.tag, self.parent, self.marks, self.gone = tag, parent, marks, gone
+    def __init__(self, tag: str, parent: Node | None, marks: frozenset[str], named: bool, gone: bool):
+        self.tag, self.parent, self.marks, self.named, self.gone = tag, parent, marks, named, gone
         self.parts: list[Node | str] = []
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main") or "main" in parent.marks)
-        self.digest = 0
+        self.inside = parent is not None and (parent.inside or _is_article(parent))
+        self.digest = self.words = 0
+        self.prose = False
 
 
-def _attributes(text: str) -> tuple[frozenset[str], bool]:
+def _is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or "main" in node.marks
+
+
+def _is_named(name: str, value: str) -> bool:
+    """Whether a class word, role or id says as a whole that its element is not the article."""
+    if name == "id":
+        return value in COMMENT_IDS
+    tokens = TOKEN.findall(value)
+    return any(t in MARKED for t in tokens) and all(t in MARKED or t in NEUTRAL for t in tokens)
+
+
+def _attributes(text: str) -> tuple[frozenset[str], bool, bool]:
+    """The tokens of class, id and role; whether one of their words counts as a whole; whether the element is invisible."""
     marks: set[str] = set()
-    gone = False
+    named = gone = False
     for m in ATTRIBUTE.finditer(text):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
             marks.update(TOKEN.findall(value))
+            named |= any(_is_named(name, word) for word in value.split())
         elif name == "style":
             gone |= bool(INVISIBLE.search(value))
         else:
             gone |= value != "false"
-    return frozenset(marks), gone
+    return frozenset(marks), named, gone
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Where the tag that starts before ``at`` ends; > inside quotes does not end it."""
+    """Where the tag that starts before ``at`` ends; > inside a quoted value does not end it."""
     end = page.find(">", at)
-    quote = page.find('"', at, end)
-    while end >= 0 and quote >= 0:
-        close = page.find('"', quote + 1)
+    while end >= 0:
+        quote = QUOTE.search(page, at, end)
+        if not quote:
+            return end
+        close = page.find(quote[1], quote.end())
         if close < 0:
-            return page.find(">", at)
+            return end
+        at = close + 1
         if close > end:
-            end = page.find(">", close)
-        quote = page.find('"', close + 1, end)
+            end = page.find(">", at)
     return end
 
 
 def parse(page: str) -> Node:
     """The page's elements; forgiving about tags that are missing."""
-    root = at_node = Node("#page", None, frozenset(), False)
+    root = at_node = Node("#page", None, frozenset(), False, False)
     at, size = 0, len(page)
     lower = None
     while at < size:
@@ -156,8 +183,8 @@ def parse(page: str) -> Node:
                 if open_node.tag in closed:
                     at_node = open_node.parent
                 open_node = open_node.parent
-        marks, gone = _attributes(rest) if "=" in rest or "hidden" in rest else (frozenset(), False)
-        node = Node(tag, at_node, marks, gone)
+        marks, named, gone = _attributes(rest) if "=" in rest or "hidden" in rest else (frozenset(), False, False)
+        node = Node(tag, at_node, marks, named, gone)
         at_node.parts.append(node)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -182,15 +209,24 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _digest(root: Node) -> list[Node]:
+    """All elements with their digests, the characters of text they hold, and whether prose is in them."""
     nodes = _walk(root)
     for node in nodes:
         seen = xxhash.xxh64(node.tag)
         seen.update(" ".join(sorted(node.marks)))
+        own = node.tag in PROSE
         for part in node.parts:
             if isinstance(part, Node):
                 seen.update(part.digest.to_bytes(8, "little"))
+                node.words += part.words
+                node.prose |= part.prose
+                own |= part.words > 0 and part.tag not in BLOCK and part.tag != "a"
             else:
-                seen.update(" ".join(part.split()).encode("utf-8", "surrogatepass"))
+                text = " ".join(part.split())
+                seen.update(text.encode("utf-8", "surrogatepass"))
+                node.words += len(text)
+                own |= bool(text)
+        node.prose |= own and node.tag in PROSE_ITEMS
         node.digest = seen.intdigest()
     return nodes
 
@@ -198,7 +234,14 @@ def _digest(root: Node) -> list[Node]:
 def _counts_as_template(node: Node) -> bool:
     if node.tag not in BLOCK or node.tag in ("html", "body", "article", "main"):
         return False
-    return not (node.inside and node.tag in PROSE)
+    if not node.inside:
+        return True
+    if node.prose:
+        return False
+    article = node.parent
+    while not _is_article(article):
+        article = article.parent
+    return node.words <= article.words * MOST_OF_ARTICLE
 
 
 def subtree_hashes(page: str | None) -> list[int]:
@@ -214,7 +257,7 @@ def _is_dropped(node: Node) -> bool:
         return not node.inside
     if node.tag in ("html", "body", "article", "main"):
         return False
-    return bool(node.marks & MARKED)
+    return node.named if node.inside or node.tag in PROSE else bool(node.marks & MARKED)
 
 
 def _text_length(root: Node) -> int:
@@ -237,7 +280,7 @@ def _article(root: Node) -> Node:
             for part in node.parts:
                 if isinstance(part, Node) and not _is_dropped(part):
                     if part.tag == wanted or wanted == "main" and "main" in part.marks:
-                        if not part.marks & MARKED:
+                        if not part.named:
                             found.append(part)
                     else:
                         work.append(part)
@@ -272,7 +315,7 @@ def extract_text(page: str | None, template: frozenset[int] | set[int] = frozens
             flush()
         elif isinstance(part, str):
             buffer.append(part)
-        elif part is not top and (_is_dropped(part) or part.tag == "article" and top.tag == "article" and part.marks & MARKED):
+        elif part is not top and (_is_dropped(part) or part.tag == "article" and part.named):
             buffer.append(" ")
         else:
             if part.tag == "br":
