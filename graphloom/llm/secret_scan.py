@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 #: The base patterns; ASCII case only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -83,42 +85,49 @@ def _scan(text: str) -> list[Span]:
     return found
 
 
-def _decode_escape(run: str) -> str | None:
-    if run[0] == "%":
-        try:
-            return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            return None
+def _decode_escape(run: str) -> Iterator[tuple[str, int]]:
+    """What a run of escapes stands for, character by character, and how many characters of the run each takes.
+
+    Bytes and halves of pairs that stand for no character become U+FFFD, so that they do not hide their neighbours.
+    """
     if run[0] == "&":
-        return html.unescape(run)
-    if run.startswith("\\u{"):
+        yield html.unescape(run), len(run)
+    elif run.startswith("\\u{"):
         code = int(run[3:-1], 16)
-        return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
-    if run.startswith("\\u"):
-        try:
-            return b"".join(bytes.fromhex(x) for x in run.split("\\u")[1:]).decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
-    return chr(int(run[2:], 16))
+        yield chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd", len(run)
+    elif run[0] == "%" or run.startswith("\\u"):
+        mark, encoding, width = ("%", "utf-8", 3) if run[0] == "%" else ("\\u", "utf-16-be", 6)
+        decoder = codecs.getincrementaldecoder(encoding)("replace")
+        done = 0
+        for at in range(width, len(run) + 1, width):
+            got = decoder.decode(bytes.fromhex(run[at - width + len(mark) : at]), at == len(run))
+            if got:
+                yield got, at - done
+                done = at
+    else:
+        yield chr(int(run[2:], 16)), len(run)
 
 
 def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     """The text with its escapes decoded, and pieces (start, end, start in ``text``, end in ``text``)."""
     out, pieces, at, size = [], [], 0, 0
+
+    def add(part: str, low: int, high: int) -> None:
+        nonlocal size
+        if part:
+            out.append(part)
+            pieces.append((size, size + len(part), low, high))
+            size += len(part)
+
     for m in ESCAPES.finditer(text):
-        got = _decode_escape(m[0])
-        if got is None:
-            continue
-        for part, low, high in ((text[at : m.start()], at, m.start()), (got, m.start(), m.end())):
-            if part:
-                out.append(part)
-                pieces.append((size, size + len(part), low, high))
-                size += len(part)
-        at = m.end()
+        add(text[at : m.start()], at, m.start())
+        at = m.start()
+        for got, taken in _decode_escape(m[0]):
+            add(got, at, at + taken)
+            at += taken
     if not at:
         return None
-    out.append(text[at:])
-    pieces.append((size, size + len(text) - at, at, len(text)))
+    add(text[at:], at, len(text))
     return "".join(out), pieces
 
 
@@ -208,10 +217,15 @@ def _decodings(run: str, budget: list[int]) -> Iterator[tuple[str, bool, bool]]:
 
 
 def _is_word(run: str) -> bool:
-    """Words of natural text have no digit or no change of case inside; nothing to decode there."""
+    """Words of natural text have no digit or no change of case inside."""
     return run.isalpha() and run[1:].islower()
 
 
+def _is_idle(run: str) -> bool:
+    """Whether nothing that a run decodes to may hold anything, so that the run need not be looked at again."""
+    return not any(_may_hold(text) for text, _, _ in _decodings(run, _budget(run)))
+
+
 def _wrapped(layer: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of base64 characters that go on over line ends: the places of their lines' parts."""
     block: list[tuple[int, int]] = []
@@ -272,15 +286,15 @@ def _hits(run: str) -> set:
 def _runs(layer: str) -> list[tuple[int, int, str]]:
     """(start, end, base64 characters) of the regions to decode: single runs, and runs wrapped at line ends where their
     lines by themselves show less. A wrapped run takes the place of its lines."""
-    single = [(m.start(), m.end(), m[0]) for m in BASE64.finditer(layer) if not _is_word(m[0])]
+    single = [(m.start(), m.end(), m[0]) for m in BASE64.finditer(layer)]
     if "\n" not in layer:
         return single
     taken: list[tuple[int, int]] = []
     for block in _wrapped(layer):
         parts = [layer[a:b] for a, b in block]
-        if sum(map(len, parts)) < LEAST_RUN or all(map(_is_word, parts)):
+        if sum(map(len, parts)) < LEAST_RUN or all(map(_is_word, parts)) and _is_idle("".join(parts)):
             continue
-        apart = set().union(*(_hits(part) for part in parts if len(part) >= LEAST_RUN and not _is_word(part)))
+        apart = set().union(*(_hits(part) for part in parts if len(part) >= LEAST_RUN))
         joined = _hits("".join(parts))
         if {h for h in joined if h[0] != "broken"} <= apart and ("broken", "") not in apart - joined:
             continue
@@ -377,7 +391,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -407,9 +421,10 @@ def redact(text: str, mask: str = "[SECRET]") -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the secrets of ``text_col`` masked and ``chars_col``, where there is one, kept true."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+        for batch in byte_slices(batches, at):
             texts = batch.column(at).to_pylist()
             new = [t and redact(t) for t in texts]
             columns = list(batch.columns)
