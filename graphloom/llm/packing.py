@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import BROADCAST_ROWS, byte_slices, materialize
 from .word_tokens import tokenizer_for
 
 CAPACITY, END_TOKEN = 4096, 1
-#: Texts that a Python worker has in pieces at a time.
-AT_ONCE = 256
+#: Documents whose pieces are handed on at a time.
+AT_ONCE = 512
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
@@ -41,19 +41,19 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     schema = f"__id {own}, piece int, start long, length long, ids_crc32 long, ids array<int>, __task int, __nth long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, seen, task = tokenizer_for(tokenizer_path), Counter(), TaskContext.get().partitionId()
-        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
-            rows = []
-            ids_of = batch.column(0).to_pylist()
-            for doc_id, ids in zip(ids_of, tokenizer.encode_many(batch.column(1).to_pylist())):
-                ids = np.append(ids, np.uint32(END_TOKEN)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if keep_ids else None, task, seen[len(part)]))
-                    seen[len(part)] += 1
-            columns = list(zip(*rows)) if rows else [[]] * 8
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["__id", "piece", "start", "length", "ids_crc32", "ids", "__task", "__nth"])
+        tokenizer, seen, task = tokenizer_for(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for batch in byte_slices(batches, 1):
+            found, begins = tokenizer.encode(batch.column(1))
+            for low in range(0, batch.num_rows, AT_ONCE):
+                rows = []
+                for doc_id, a, b in zip(batch.column(0).slice(low, AT_ONCE).to_pylist(), begins[low : low + AT_ONCE], begins[low + 1 :]):
+                    ids = np.append(found[a:b], np.uint32(END_TOKEN)).astype("<u4")
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        rows.append((doc_id, k, start, len(part), zlib.crc32(part.data), part.astype(np.int32) if keep_ids else None, task, seen[len(part)]))
+                        seen[len(part)] += 1
+                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["__id", "piece", "start", "length", "ids_crc32", "ids", "__task", "__nth"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(run, schema)
@@ -150,6 +150,8 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.sparkContext.broadcast(_slots(plan_sequences(counts, capacity)))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
     bases = materialize(tasks.select("__task", "length", F.coalesce(before, F.lit(0)).alias("__base")), "pack-bases")
+    if bases.count() <= BROADCAST_ROWS:  # a task has ``capacity`` lengths at most; more tasks' rows are joined by a shuffle
+        bases = F.broadcast(bases)
     ranked = pieces.join(bases, ["__task", "length"]).withColumn("__rank", F.col("__nth") + F.col("__base")).drop("__task", "__nth", "__base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
