@@ -28,9 +28,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize, text_of
+from .common import BROADCAST_ROWS, byte_slices, free_name, materialize, text_of
 from .components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE, LEAST_BYTES = 3, 42, 3, 5
@@ -59,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(__id, __row, __fp): one row per input row; a hash of the text and the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64), pa.int64())], ["__id", "__row", "__fp"])
 
@@ -164,14 +163,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, and of one id the text that hashes lowest."""
+    """``docs`` with one row of each component: that of the smallest id, and of one id the text that hashes lowest.
+
+    What goes is taken out by an anti-join, so that texts stay where they are if the rows that go are few. Rows that repeat
+    both id and text are reduced to one apart from the others.
+    """
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
     labelled = _labelled(prints, list_limit).select("__fp", "__label")
-    rank = F.struct(F.col("__id").isNull().alias("none"), F.coalesce("__id", F.lit(0)).alias("id"), F.col("__row").alias("row"))
-    keep = prints.join(labelled, "__fp").groupBy("__label").agg(F.min(rank).alias("k")).select("k.*")
-    keep = materialize(keep, "simhash-keep")
-    names = ["__none", "__key", "__row"]
-    rows = docs.withColumns({"__none": F.col(id_col).isNull(), "__key": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__row": F.xxhash64(text_of(text_col))})
-    hit = rows.join(keep.toDF(*names), names, "left_semi")
-    one = hit.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy("__row"))).where("__n = 1")
-    return one.select(docs.columns)
+    keys = [free_name(docs, name) for name in ("none", "key", "row")]
+    own = prints.select("__fp", F.col("__id").isNull().alias("none"), F.coalesce("__id", F.lit(0)).alias("id"), F.col("__row").alias("row"))
+    counted = own.groupBy("__fp", "none", "id", "row").agg(F.count("*").alias("n")).join(labelled, "__fp")
+    best = counted.groupBy("__label").agg(F.min(F.struct("none", "id", "row")).alias("best"))
+    judged = counted.join(best, "__label").select("none", "id", "row", (F.struct("none", "id", "row") == F.col("best")).alias("stays"), "n")
+    judged = materialize(judged.where("not stays or n > 1"), "simhash-judged")
+    n, repeated = judged.agg(F.count("*"), F.count_if("stays")).first()
+    out = judged.select("none", "id", "row").toDF(*keys)
+    few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    rows = docs.withColumns(dict(zip(keys, (F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(text_of(text_col))))))
+    left = rows.join(few(out), keys, "left_anti")
+    if repeated:
+        again = rows.join(few(judged.where("stays").select("none", "id", "row").toDF(*keys)), keys, "left_semi")
+        left = left.unionByName(again.dropDuplicates(keys))
+    return left.select(docs.columns)
