@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .common import BROADCAST_ROWS, byte_slices, materialize
 from .word_tokens import tokenizer_for
 
 CAPACITY, END_TOKEN = 4096, 1
+#: Bits of a piece's rank among those of its length.
+RANK_BITS = 48
 #: Documents whose pieces are handed on at a time.
 AT_ONCE = 512
 
@@ -124,22 +127,40 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return plan
 
 
-def _slots(plan: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
-    """Per length: rows (first rank, pieces a sequence, first sequence, row of offsets), and the offsets themselves."""
+@dataclass(frozen=True)
+class _Slots:
+    """The plan by length and rank, as arrays: rows of (first rank, pieces a sequence, first sequence, where its offsets begin)."""
+
+    keys: np.ndarray  # length and first rank in one number, rising
+    each: np.ndarray
+    sequence: np.ndarray
+    begins: np.ndarray
+    offsets: np.ndarray
+
+    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence and the offset of the pieces of the given lengths and ranks."""
+        key = length.astype(np.int64) << RANK_BITS | rank
+        row = np.searchsorted(self.keys, key, "right") - 1
+        nth, place = np.divmod(key - self.keys[row], self.each[row])
+        return self.sequence[row] + nth, self.offsets[self.begins[row] + place]
+
+
+def _slots(plan: list[tuple[int, tuple[int, ...]]]) -> _Slots:
     rank: Counter = Counter()
-    out: dict[int, list] = {}
-    sequence = 0
+    rows, offsets, sequence = [], [], 0
     for times, lengths in plan:
-        offsets: dict[int, list[int]] = {}
+        places: dict[int, list[int]] = {}
         at = 0
         for length in lengths:
-            offsets.setdefault(length, []).append(at)
+            places.setdefault(length, []).append(at)
             at += length
-        for length, places in offsets.items():
-            out.setdefault(length, []).append((rank[length], len(places), sequence, places))
-            rank[length] += times * len(places)
+        for length, found in places.items():
+            rows.append((length << RANK_BITS | rank[length], len(found), sequence, len(offsets)))
+            rank[length] += times * len(found)
+            offsets += found
         sequence += times
-    return {length: (np.array([r[0] for r in rows]), rows) for length, rows in out.items()}
+    table = np.array(sorted(rows), np.int64).reshape(-1, 4)
+    return _Slots(*table.T.copy(), np.array(offsets, np.int64))
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -155,17 +176,10 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = pieces.join(bases, ["__task", "length"]).withColumn("__rank", F.col("__nth") + F.col("__base")).drop("__task", "__nth", "__base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = slots.value
         for batch in batches:
-            sequences, offsets = [], []
-            for length, rank in zip(batch.column(batch.schema.get_field_index("length")).to_pylist(), batch.column(batch.schema.get_field_index("__rank")).to_pylist()):
-                firsts, rows = known[length]
-                first, each, sequence, places = rows[int(np.searchsorted(firsts, rank, "right")) - 1]
-                nth, place = divmod(rank - first, each)
-                sequences.append(sequence + nth)
-                offsets.append(places[place])
-            columns = [*batch.columns[:-1], pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
+            length, rank = (batch.column(batch.schema.get_field_index(name)).to_numpy() for name in ("length", "__rank"))
+            sequences, offsets = slots.value.place(length, rank)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequences), pa.array(offsets)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "__rank")
     return ranked.mapInArrow(run, f"{kept}, sequence_id long, offset long")
