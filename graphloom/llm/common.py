@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ BROADCAST_ROWS = 500_000
 
 
 #: Bytes of text that a Python worker has in pieces at a time; a longer text comes alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -53,6 +56,14 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLIC
             at, done = to, int(ends[to - 1])
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system at the end of a task, for its executor's other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

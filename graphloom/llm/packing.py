@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, byte_slices, materialize
+from .common import BROADCAST_ROWS, byte_slices, give_back, materialize
 from .word_tokens import tokenizer_for
 
 CAPACITY, END_TOKEN = 4096, 1
@@ -57,6 +57,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                         seen[len(part)] += 1
                 types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["__id", "piece", "start", "length", "ids_crc32", "ids", "__task", "__nth"])
+        tokenizer.forget()
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(run, schema)

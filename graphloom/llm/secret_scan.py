@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, give_back
 
 #: The base patterns; ASCII case only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -434,5 +434,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
                 counts = [old if a is b or a == b else len(b) for old, a, b in zip(columns[n].to_pylist(), texts, new)]
                 columns[n] = pa.array(counts, batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

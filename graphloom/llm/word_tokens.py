@@ -2,7 +2,7 @@
 
 A batch's texts are lower-cased, parted from the marks after their words, split at ASCII white space and dictionary-encoded
 in Arrow, so that Python sees each distinct chunk of a batch once. What the texts hold is then gathered by offsets. Chunks
-that a batch has several times are remembered from batch to batch, at most ``MOST_CACHED``.
+that a batch has several times are remembered from batch to batch of a task, at most ``MOST_CACHED``.
 
 Defined cases: a null text is empty and has no ids; an empty batch gives no ids; special tokens' strings are ordinary text;
 texts may repeat and be of any length that an Arrow array of strings holds.
@@ -39,7 +39,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.full = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.full.model)  # one vocabulary for both
         self.full.encode_special_tokens = self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -102,6 +103,10 @@ class WordTokenizer:
         words = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)))
         return np.concatenate(ids), np.concatenate(ends)[words]
 
+    def forget(self) -> None:
+        """Give back what is remembered; the worker may do other work next."""
+        self.cache = {}
+
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         ids, begins = self.encode(pa.array(texts, pa.string()))
         return [ids[a:b] for a, b in zip(begins, begins[1:])]
