@@ -1,12 +1,15 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame operations only).
 
 Documents arrive in batches of ascending doc_id. The runs hold each line key seen so far with the smallest doc_id that
-holds it; a run is sorted by key inside hash buckets. A batch merge-anti-joins the runs, adds its new keys as a run of
-level 0, and ``FANOUT`` runs of a level are compacted into one of the next. A line goes if a run or its own batch has its
-key under a smaller doc_id.
+holds it; a run is a table bucketed by key and sorted inside its buckets. A batch's keys are dealt to the same buckets and
+merge-joined with the runs, which stay where they are: what no run has is the batch's own run of level 0, and ``FANOUT``
+runs of a level are merged into one of the next, bucket by bucket. A line goes if a run or its own batch has its key under a
+smaller doc_id.
 
-Texts are shuffled once; line keys travel as two 64-bit hashes and a position. A key that very many documents share is
-combined before its shuffle, and the join that marks its lines is a plain equi-join that AQE can split.
+Line keys travel as two 64-bit hashes and a position. A key that very many documents share is combined before its shuffle,
+and the join that marks its lines is a plain equi-join that AQE can split. The places of lines that go are sent to the scan
+of the texts if they were counted and are few; else both are shuffled by document. The runs of a call are deleted at its
+end, if it was not given any to go on from.
 
 Defined cases: a null text is one empty line; a null doc_id ranks after all others and never owns a key that a numbered
 document holds; rows that share a doc_id count as one document; an empty table gives an empty result; extra columns are
@@ -20,12 +23,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialize, text_of
+from ..plans import scratch_path
+from .common import SPACES, ascii_lower, forget, materialize, text_of
 
 #: Keys shorter than this many code points are never dropped.
 LEAST_CHARS = 10
 #: Batches that one call deals its documents into, and runs of a level before they are compacted.
 BATCHES, FANOUT = 4, 2
+#: Keys of a bucket that are aimed at, as the first batch has them, and the most buckets.
+BUCKET_KEYS, MOST_BUCKETS = 1 << 20, 50_000
+#: Documents and places of lines that are sent to all workers at most.
+SENT_DOCS, SENT_PLACES = 200_000, 2_000_000
 
 KEY = ["__h1", "__h2"]
 
@@ -44,27 +52,45 @@ def _keyed_lines(rows: DataFrame) -> DataFrame:
 
 
 class SortedRuns:
-    """Levelled runs of (key, smallest doc_id), each a table of the shared folder."""
+    """Levelled runs of (key, smallest doc_id): bucketed tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, {}
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+        self.levels: dict[int, list[str]] = {}
+
+    def tables(self) -> list[str]:
+        return [run for level in self.levels.values() for run in level]
+
+    def keys(self, run: str) -> DataFrame:
+        """(key, __own) of a run; its table may tell more, of keys that it does not own."""
+        return self.spark.table(run).where("__fresh").select(*KEY, "__own")
 
     def all(self) -> DataFrame | None:
-        runs = [r for level in self.levels.values() for r in level]
-        return reduce(DataFrame.unionByName, runs) if runs else None
+        return reduce(DataFrame.unionByName, map(self.keys, self.tables())) if self.tables() else None
+
+    def write(self, rows: DataFrame) -> str:
+        path = scratch_path(self.spark, "line-run")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        return name
+
+    def drop(self, run: str) -> None:
+        table = self.spark.table(run)
+        self.spark.sql(f"DROP TABLE {run}")
+        forget(table)
 
-    def add(self, keys: DataFrame) -> None:
-        """Add a sorted run of keys that no run has, and compact levels that are full."""
+    def add(self, run: str) -> None:
+        """Add a run of keys that no run has, and compact levels that are full."""
         level = 0
-        run = materialize(keys.sortWithinPartitions(*KEY), "line-run")
         while True:
             runs = self.levels.setdefault(level, [])
             runs.append(run)
             if len(runs) < self.fanout:
                 return
-            whole = reduce(DataFrame.unionByName, runs)
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            run = materialize(whole.repartition(n, *KEY).sortWithinPartitions(*KEY), "line-run")
+            whole = reduce(DataFrame.unionByName, map(self.keys, runs))
+            run = self.write(whole.withColumn("__fresh", F.lit(True)))
+            for old in runs:
+                self.drop(old)
             self.levels[level] = []
             level += 1
 
@@ -90,22 +116,28 @@ def _parts(rows: DataFrame, cuts: list[int]) -> list[DataFrame]:
     return out
 
 
-def _dropped(batch: DataFrame, runs: SortedRuns) -> DataFrame:
+def _dropped(batch: DataFrame, runs: SortedRuns, batches: int) -> DataFrame:
     """Places of the batch's lines that go; adds the batch's new keys to ``runs``."""
     lines = _keyed_lines(batch)
     first = lines.groupBy(*KEY).agg(F.min("__id").alias("__own"), F.max(F.coalesce("__id", F.lit(2**63 - 1))).alias("__last"))
     first = materialize(first, "line-keys")
-    old = runs.all()
-    if old is None:
-        fresh, owners = first, first
-    else:
-        fresh = first.hint("merge").join(old.select(*KEY), KEY, "left_anti")
-        seen = first.hint("merge").join(old.select(*KEY, F.col("__own").alias("__old")), KEY, "left")
-        owners = materialize(seen.withColumn("__own", F.coalesce("__old", "__own")).drop("__old"), "line-owners")
-    runs.add(fresh.where("__own is not null").select(*KEY, "__own"))
-    shared = owners.where("__own is not null and __last > __own").select(*KEY, "__own")
+    if not runs.buckets:
+        runs.buckets = min(max(8, first.count() * batches // BUCKET_KEYS), MOST_BUCKETS)
+    seen = first.repartition(runs.buckets, *KEY)
+    old = []
+    for i, run in enumerate(runs.tables()):
+        old.append(f"__old{i}")
+        seen = seen.hint("merge").join(runs.keys(run).withColumnRenamed("__own", old[-1]), KEY, "left")
+    fresh = F.col("__own").isNotNull()
+    for name in old:
+        fresh = fresh & F.col(name).isNull()
+    run = runs.write(seen.select(*KEY, F.coalesce(*old, "__own").alias("__own"), "__last", fresh.alias("__fresh")))
+    forget(first)
+    shared = runs.spark.table(run).where("__own is not null and __last > __own").select(*KEY, "__own")
     hit = lines.join(shared, KEY).where("__id is null or __id > __own")
-    return hit.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__gone"))
+    gone = materialize(hit.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__gone")), "line-gone")
+    runs.add(run)
+    return gone
 
 
 def _kept(lines: Column, gone: Column) -> Column:
@@ -128,14 +160,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Pass ``runs`` to go on from earlier calls, whose documents must have smaller ids.
     """
     rows = _rows(docs, id_col, text_col)
-    runs = runs or SortedRuns(docs.sparkSession)
-    results = []
-    for batch in _parts(rows, _bounds(docs, id_col, batches)):
-        gone = _dropped(batch, runs)
-        both = batch.join(gone.select(F.col("__id").alias("__g"), F.col("__row").alias("__r"), "__gone"), F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__row") == F.col("__r")), "left")
-        results.append(both.select("__id", "__text", "__gone"))
-    whole = reduce(DataFrame.unionByName, results)
-    cut = whole.withColumn("__lines", F.split("__text", "\n"))
+    known = runs or SortedRuns(docs.sparkSession)
+    found = [_dropped(batch, known, batches) for batch in _parts(rows, _bounds(docs, id_col, batches))]
+    if runs is None:
+        for run in known.tables():
+            known.drop(run)
+    gone = reduce(DataFrame.unionByName, found).toDF("__g", "__r", "__gone")
+    n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    if n <= SENT_DOCS and places <= SENT_PLACES:
+        gone = F.broadcast(gone)
+    both = rows.join(gone, F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__row") == F.col("__r")), "left")
+    cut = both.select("__id", "__text", "__gone", F.split("__text", "\n").alias("__lines"))
     return cut.select(
         F.col("__id").alias(id_col),
         F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(_kept(F.col("__lines"), F.col("__gone")), "\n")).alias("kept_text"),
