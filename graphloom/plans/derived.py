@@ -13,24 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_next(spark: SparkSession, sf_dir: str, most_quantity: float | None = None) -> DataFrame:
-    """Consecutive parts inside an order."""
-    lines = table(spark, sf_dir, "lineitem")
-    if most_quantity is not None:
-        lines = lines.where(F.col("l_quantity") <= most_quantity)
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    pairs = lines.select(F.col("l_partkey").cast("long").alias("src"), F.lead("l_partkey").over(order).cast("long").alias("dst"))
+def _consecutive(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    pairs = rows.select(F.col(value).cast("long").alias("src"), F.lead(value).over(Window.partitionBy(key).orderBy(*order)).cast("long").alias("dst"))
     return pairs.where("dst is not null and src <> dst")
 
 
-def part_next_sql(most_quantity: float | None = None) -> str:
-    where = "" if most_quantity is None else f"WHERE l_quantity <= {most_quantity}"
-    return f"""SELECT src, dst FROM (SELECT CAST(l_partkey AS BIGINT) AS src, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS BIGINT) AS dst
-        FROM lineitem {where}) WHERE dst IS NOT NULL AND src <> dst"""
+def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Consecutive parts inside an order."""
+    return Graph(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), _consecutive(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber", "l_partkey"))
+
+
+PART_NEXT_SQL = """SELECT src, dst FROM (SELECT CAST(l_partkey AS BIGINT) AS src, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS BIGINT) AS dst
+        FROM lineitem) WHERE dst IS NOT NULL AND src <> dst"""
+
+
+def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users whose events of a kind follow each other."""
+    events = table(spark, sf_dir, "events")
+    return Graph(events.select(F.col("user_id").alias("id")).distinct(), _consecutive(events, "event_type", "user_id", "ts", "event_id"))
 
 
-def part_graph(spark: SparkSession, sf_dir: str, most_quantity: float | None = None) -> Graph:
-    return Graph(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), part_next(spark, sf_dir, most_quantity))
+USERS_SQL = "SELECT DISTINCT CAST(user_id AS BIGINT) AS id FROM events"
+USER_NEXT_SQL = """SELECT src, dst FROM (SELECT CAST(user_id AS BIGINT) AS src, CAST(lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS dst
+        FROM events) WHERE dst IS NOT NULL AND src <> dst"""
 
 
 def order_chain(spark: SparkSession, sf_dir: str) -> Graph:

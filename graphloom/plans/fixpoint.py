@@ -7,6 +7,7 @@ job; the counts that end the loop and the per-round evidence are observed in tha
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 from collections.abc import Callable, Mapping
@@ -14,8 +15,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-#: Rounds after which a loop stops, converged or not.
+#: Rounds after which a loop stops; it logs a warning if it has not converged.
 MAX_ROUNDS = 1000
+LOG = logging.getLogger("graphloom")
+
+
+def stopped(label: str, rounds: int) -> None:
+    LOG.warning("%s: stopped after %d rounds without converging", label, rounds)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,5 +87,6 @@ class Fixpoint:
                 remove(state)
             state = after
             if not self.go_on(found):
-                break
+                return state
+        stopped(self.label, self.max_rounds)
         return state

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import compare, detection, partitioning, statistics, traversal
+from .operators import checked, compare, detection, partitioning, statistics, traversal
 from .plans import Graph
-from .plans.derived import ORDER_CHAIN_SQL, RAW_PAIRS_SQL, order_chain, part_graph, part_next_sql, raw_pairs, table
+from .plans.derived import ORDER_CHAIN_SQL, PART_NEXT_SQL, RAW_PAIRS_SQL, USER_NEXT_SQL, USERS_SQL, order_chain, part_graph, raw_pairs, table, user_graph
 from .sources import edge_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Quantity limits of the default and the sparse part graph, the core's k, the number of ranks.
-DEFAULT, SPARSE, K, RANKS = 25, 12, 5, 4
+#: The core's k, the number of ranks, and where the redundant lanes of checked runs are made to err.
+K, RANKS, FAULT = 15, 4, 13
 INF = traversal.UNREACHABLE
 
 
@@ -48,8 +48,8 @@ DEGREES = """SELECT v.id, coalesce(o.n, 0)::BIGINT AS outdegree, coalesce(i.n, 0
 SIMPLE = "SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e WHERE src <> dst"
 
 
-def graph_sql(most_quantity: float | None = DEFAULT, vertices: str = PARTS, edges: str | None = None) -> str:
-    return f"WITH v AS MATERIALIZED ({vertices}), e AS MATERIALIZED ({edges or part_next_sql(most_quantity)}), deg AS MATERIALIZED ({DEGREES}), s AS MATERIALIZED ({SIMPLE}), src0 AS MATERIALIZED (SELECT id FROM deg ORDER BY outdegree DESC, total_degree DESC, id LIMIT 1)"
+def graph_sql(vertices: str = PARTS, edges: str = PART_NEXT_SQL) -> str:
+    return f"WITH v AS MATERIALIZED ({vertices}), e AS MATERIALIZED ({edges}), deg AS MATERIALIZED ({DEGREES}), s AS MATERIALIZED ({SIMPLE}), src0 AS MATERIALIZED (SELECT id FROM deg ORDER BY outdegree DESC, total_degree DESC, id LIMIT 1)"
 
 
 def unrolled(start: str, step: str, rounds: int) -> str:
@@ -100,52 +100,44 @@ def each_round(select: str, rounds: int) -> str:
 # --- traversal --------------------------------------------------------------------------------------------------------
 
 
-def _default(spark: SparkSession, sf_dir: str) -> Graph:
-    return part_graph(spark, sf_dir, DEFAULT)
-
-
-def _sparse(spark: SparkSession, sf_dir: str) -> Graph:
-    return part_graph(spark, sf_dir, SPARSE)
-
-
 @query(f"{graph_sql()}, {BFS_CTE} SELECT id, distance FROM r{BFS_ROUNDS}")
 def bfs_levels(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return traversal.bfs(graph, best_source(graph))[0]
 
 
-@query(f"{graph_sql(SPARSE)}, {BFS_CTE} SELECT id, distance FROM r{BFS_ROUNDS}")
+@query(f"{graph_sql()}, {BFS_CTE} SELECT id, distance FROM r{BFS_ROUNDS}")
 def bfs_seeded(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return traversal.bfs(graph, best_source(graph))[0]
 
 
-@query(f"{graph_sql(SPARSE)}, {BFS_CTE} SELECT distance AS iter, count(*) AS new FROM r{BFS_ROUNDS} WHERE distance BETWEEN 1 AND {INF - 1} GROUP BY 1")
+@query(f"{graph_sql()}, {BFS_CTE} SELECT distance AS iter, count(*) AS new FROM r{BFS_ROUNDS} WHERE distance BETWEEN 1 AND {INF - 1} GROUP BY 1")
 def bfs_frontier_sizes(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     history = [h for h in traversal.bfs(graph, best_source(graph))[1] if h["new"]]
     return traversal.history_frame(spark, history, "iter int, new long")
 
 
-@query(f"{graph_sql(SPARSE)}, {BFS_CTE} SELECT distance, count(*) AS vertices FROM r{BFS_ROUNDS} GROUP BY 1")
+@query(f"{graph_sql()}, {BFS_CTE} SELECT distance, count(*) AS vertices FROM r{BFS_ROUNDS} GROUP BY 1")
 def bfs_level_histogram(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return traversal.bfs(graph, best_source(graph))[0].groupBy("distance").agg(F.count("*").alias("vertices"))
 
 
-@query(f"{graph_sql(SPARSE)}, {LABEL_CTE} SELECT id, label FROM r{LABEL_ROUNDS}")
+@query(f"{graph_sql()}, {LABEL_CTE} SELECT id, label FROM r{LABEL_ROUNDS}")
 def cc_max_label(spark, sf_dir):
-    return traversal.max_labels(_sparse(spark, sf_dir))[0]
+    return traversal.max_labels(part_graph(spark, sf_dir))[0]
 
 
-@query(f"{graph_sql(SPARSE)}, {LABEL_CTE} SELECT label, count(*) AS vertices FROM r{LABEL_ROUNDS} GROUP BY 1")
+@query(f"{graph_sql()}, {LABEL_CTE} SELECT label, count(*) AS vertices FROM r{LABEL_ROUNDS} GROUP BY 1")
 def cc_sizes(spark, sf_dir):
-    return traversal.max_labels(_sparse(spark, sf_dir))[0].groupBy("label").agg(F.count("*").alias("vertices"))
+    return traversal.max_labels(part_graph(spark, sf_dir))[0].groupBy("label").agg(F.count("*").alias("vertices"))
 
 
-@query(f"{graph_sql(edges=f'SELECT src, dst FROM ({part_next_sql(SPARSE)}) UNION ALL SELECT dst AS src, src AS dst FROM ({part_next_sql(SPARSE)})')}, {LABEL_CTE} SELECT id, label FROM r{LABEL_ROUNDS}")
+@query(f"{graph_sql(edges=f'SELECT src, dst FROM ({PART_NEXT_SQL}) UNION ALL SELECT dst AS src, src AS dst FROM ({PART_NEXT_SQL})')}, {LABEL_CTE} SELECT id, label FROM r{LABEL_ROUNDS}")
 def cc_symmetric(spark, sf_dir):
-    return traversal.max_labels(_sparse(spark, sf_dir).symmetrize())[0]
+    return traversal.max_labels(part_graph(spark, sf_dir).symmetrize())[0]
 
 
 @query(f"{graph_sql(vertices=ORDERS, edges=ORDER_CHAIN_SQL)}, {LABEL_CTE} SELECT id, label FROM r{LABEL_ROUNDS}")
@@ -155,73 +147,142 @@ def cc_order_chain(spark, sf_dir):
 
 @query(f"{graph_sql()}, {KCORE_CTE} SELECT id, alive FROM r{CORE_ROUNDS}")
 def kcore_members(spark, sf_dir):
-    return traversal.kcore(_default(spark, sf_dir), K)[0].select("id", "alive")
+    return traversal.kcore(part_graph(spark, sf_dir), K)[0].select("id", "alive")
 
 
 @query(f"{graph_sql()}, {KCORE_CTE} SELECT id, support FROM r{CORE_ROUNDS} WHERE alive")
 def kcore_support(spark, sf_dir):
-    return traversal.kcore(_default(spark, sf_dir), K)[0].where("alive").select("id", "support")
+    return traversal.kcore(part_graph(spark, sf_dir), K)[0].where("alive").select("id", "support")
 
 
 @query(f"{graph_sql()}, {KCORE_CTE}, t AS ({each_round('SELECT ROUND AS i, count(*) FILTER (died) AS n FROM PREV', CORE_ROUNDS)}) SELECT count(*) AS rounds FROM t WHERE n > 0")
 def kcore_rounds(spark, sf_dir):
-    rounds = sum(h["count_update"] > 0 for h in traversal.kcore(_default(spark, sf_dir), K)[1])
+    rounds = sum(h["count_update"] > 0 for h in traversal.kcore(part_graph(spark, sf_dir), K)[1])
     return spark.createDataFrame([(rounds,)], "rounds long")
 
 
 @query(f"{graph_sql()}, {INDEX_CTE} SELECT id, core FROM r{CORE_ROUNDS}")
 def core_numbers(spark, sf_dir):
-    return traversal.core_numbers(_default(spark, sf_dir))[0]
+    return traversal.core_numbers(part_graph(spark, sf_dir))[0]
 
 
-@query(f"{graph_sql(SPARSE)}, {INDEX_CTE} SELECT max(core) AS max_core FROM r{CORE_ROUNDS}")
+@query(f"{graph_sql()}, {INDEX_CTE} SELECT max(core) AS max_core FROM r{CORE_ROUNDS}")
 def max_core(spark, sf_dir):
-    return traversal.core_numbers(_sparse(spark, sf_dir))[0].agg(F.max("core").alias("max_core"))
+    return traversal.core_numbers(part_graph(spark, sf_dir))[0].agg(F.max("core").alias("max_core"))
 
 
-@query(f"{graph_sql(SPARSE)}, {RANK_CTE} SELECT id, round(rank, 6) AS rank FROM r{RANK_ROUNDS}")
+@query(f"{graph_sql()}, {RANK_CTE} SELECT id, round(rank, 6) AS rank FROM r{RANK_ROUNDS}")
 def pagerank_active(spark, sf_dir):
-    return rounded(traversal.pagerank(_sparse(spark, sf_dir))[0], "rank")
+    return rounded(traversal.pagerank(part_graph(spark, sf_dir))[0], "rank")
 
 
-@query(f"{graph_sql(SPARSE)}, {RANK_CTE} SELECT id, round(rank, 6) AS rank FROM r{RANK_ROUNDS} ORDER BY round(rank, 6) DESC, id LIMIT 20")
+@query(f"{graph_sql()}, {RANK_CTE} SELECT id, round(rank, 6) AS rank FROM r{RANK_ROUNDS} ORDER BY round(rank, 6) DESC, id LIMIT 20")
 def pagerank_topk(spark, sf_dir):
-    ranks = rounded(traversal.pagerank(_sparse(spark, sf_dir))[0], "rank")
+    ranks = rounded(traversal.pagerank(part_graph(spark, sf_dir))[0], "rank")
     return ranks.orderBy(F.desc("rank"), "id").limit(20)
 
 
-@query(f"{graph_sql(SPARSE)}, {RANK_CTE}, t AS ({each_round('SELECT count(*) FILTER (active) AS n FROM PREV', RANK_ROUNDS)}) SELECT count(*) AS rounds FROM t WHERE n > 0")
+@query(f"{graph_sql()}, {RANK_CTE}, t AS ({each_round('SELECT count(*) FILTER (active) AS n FROM PREV', RANK_ROUNDS)}) SELECT count(*) AS rounds FROM t WHERE n > 0")
 def pagerank_rounds(spark, sf_dir):
-    return spark.createDataFrame([(len(traversal.pagerank(_sparse(spark, sf_dir))[1]),)], "rounds long")
+    return spark.createDataFrame([(len(traversal.pagerank(part_graph(spark, sf_dir))[1]),)], "rounds long")
+
+
+# The graph of events has few vertices and very many parallel edges; that of orders has many parts and long chains.
+USER_GRAPH = graph_sql(USERS_SQL, USER_NEXT_SQL)
+
+
+@query(f"{USER_GRAPH}, {BFS_CTE} SELECT id, distance FROM r{BFS_ROUNDS}")
+def bfs_users(spark, sf_dir):
+    graph = user_graph(spark, sf_dir)
+    return traversal.bfs(graph, best_source(graph))[0]
+
+
+@query(f"{USER_GRAPH}, {LABEL_CTE} SELECT id, label FROM r{LABEL_ROUNDS}")
+def cc_users(spark, sf_dir):
+    return traversal.max_labels(user_graph(spark, sf_dir))[0]
+
+
+@query(f"{USER_GRAPH}, {KCORE_CTE} SELECT id, alive, CASE WHEN alive THEN support END AS support FROM r{CORE_ROUNDS}")
+def kcore_users(spark, sf_dir):
+    return traversal.kcore(user_graph(spark, sf_dir), K)[0]
+
+
+@query(f"{USER_GRAPH}, {RANK_CTE} SELECT id, round(rank, 6) AS rank FROM r{RANK_ROUNDS}")
+def pagerank_users(spark, sf_dir):
+    return rounded(traversal.pagerank(user_graph(spark, sf_dir))[0], "rank")
+
+
+@query(f"{USER_GRAPH} SELECT id, outdegree, indegree, total_degree FROM deg")
+def degrees_users(spark, sf_dir):
+    return user_graph(spark, sf_dir).degrees()
+
+
+@query(f"{graph_sql(ORDERS, ORDER_CHAIN_SQL)}, {BFS_CTE} SELECT id, distance FROM r{BFS_ROUNDS}")
+def bfs_order_chain(spark, sf_dir):
+    graph = order_chain(spark, sf_dir)
+    return traversal.bfs(graph, best_source(graph))[0]
 
 
 # --- detection --------------------------------------------------------------------------------------------------------
 
 
-@query(f"{graph_sql(SPARSE)}, {BFS_CTE} SELECT distance AS iter, count(*) AS count_update, sum({INF} - distance)::BIGINT AS sum_abs_delta FROM r{BFS_ROUNDS} WHERE distance BETWEEN 1 AND {INF - 1} GROUP BY 1")
+def checked_sql(start: str, pull: str, update: str, calls: str, counts: str, term: str, wrong: str, living: str = "true", rounds: int = BFS_ROUNDS) -> str:
+    """Rounds of a checked program and their evidence: over old and value of the rows, theirs and outdegree of in-edges."""
+    lanes = f"""SELECT l.*, 0.5::DOUBLE * outdegree / (SELECT greatest(max(outdegree), 1) FROM deg) + 0.5::DOUBLE * {term} >= 0.3::DOUBLE AND active AS critical, l.id // 256 AS block
+        FROM (SELECT p.id, p.value AS old, p.alive, p.alive AND (ROUND = 1 OR p.id IN (SELECT e.dst FROM e JOIN PREV q ON q.id = e.src WHERE q.calls)) AS active FROM PREV p) l JOIN deg USING (id)"""
+    idle = "count(*) FILTER (NOT active) OVER (PARTITION BY block) + (CASE WHEN block = ((SELECT count(*) FROM v) - 1) // 256 THEN (256 - (SELECT count(*) FROM v) % 256) % 256 ELSE 0 END)"
+    step = f"""SELECT id, value, old, lived AND {living} AS alive, active AND {calls} AS calls, active, critical, covered, active AND {counts} AS moved, covered AND id % {FAULT} = 0 AS bad, active AND {wrong} AS against
+        FROM (SELECT k.id, k.old, k.alive AS lived, k.active, k.critical, k.critical AND rn <= idle AS covered, CASE WHEN k.active THEN {update} ELSE k.old END AS value
+            FROM (SELECT c.*, row_number() OVER (PARTITION BY block, critical ORDER BY id) AS rn, {idle} AS idle FROM ({lanes}) c) k
+            LEFT JOIN (SELECT e.dst AS id, {pull} AS got FROM e JOIN (SELECT q.id, q.value AS theirs, deg.outdegree FROM PREV q JOIN deg USING (id) WHERE q.alive) q ON q.id = e.src GROUP BY 1) m USING (id))"""
+    first = f"SELECT id, value, value AS old, true AS alive, true AS calls, true AS active, false AS critical, false AS covered, false AS moved, false AS bad, false AS against FROM ({start})"
+    each = each_round(
+        """SELECT ROUND::INTEGER AS iter, count(*) FILTER (active) AS active, count(*) FILTER (critical) AS critical, count(*) FILTER (covered) AS covered, count(*) FILTER (bad) AS dmr_errors, count(*) FILTER (against) AS monotonic_errors,
+        count(*) FILTER (moved) AS count_update, round(coalesce(sum(abs(value - old)) FILTER (moved), 0)::DOUBLE, 6) AS sum_abs_delta FROM PREV""",
+        rounds,
+    )
+    return f"{graph_sql()}, {unrolled(first, step, rounds)}, t AS ({each}) SELECT * FROM t WHERE active > 0"
+
+
+def _checks(spark, sf_dir, program, **more) -> DataFrame:
+    """A run whose redundant lanes err on every ``FAULT``-th id: each covered one must be reported, and nothing else."""
+    graph = part_graph(spark, sf_dir)
+    history = checked.run_checked(graph, program(graph), fault=lambda i, value, n: value + F.when(i % FAULT == 0, 1).otherwise(0), **more)[1]
+    return rounded(traversal.history_frame(spark, history, checked.EVIDENCE), "sum_abs_delta")
+
+
+@query(checked_sql(f"SELECT v.id, (CASE WHEN v.id = src0.id THEN 0 ELSE {INF} END)::INTEGER AS value FROM v CROSS JOIN src0", "min(theirs) + 1", "least(old, coalesce(got, old))", "value < old", "value < old", "(1.0::DOUBLE / (1 + l.old))", "value > old"))
 def bfs_checks(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
-    history = traversal.bfs(graph, best_source(graph))[1]
-    rows = traversal.history_frame(spark, [h for h in history if h["new"]], "iter int, new long")
-    return rows.select("iter", F.col("new").alias("count_update"), (F.col("new") * (F.lit(INF) - F.col("iter"))).alias("sum_abs_delta"))
+    return _checks(spark, sf_dir, lambda graph: checked.bfs_program(best_source(graph)))
 
 
-@query(f"{graph_sql(SPARSE)}, {LABEL_CTE}, t AS ({each_round('SELECT ROUND::INTEGER AS iter, count(*) FILTER (delta > 0) AS count_update, sum(delta)::BIGINT AS sum_abs_delta FROM PREV', LABEL_ROUNDS)}) SELECT * FROM t WHERE count_update > 0")
+@query(checked_sql("SELECT id, id AS value FROM v", "max(theirs)", "greatest(old, coalesce(got, old))", "value > old", "value > old", "(1.0::DOUBLE / (1 + abs(l.old)))", "value < old"))
 def cc_checks(spark, sf_dir):
-    history = [h for h in traversal.max_labels(_sparse(spark, sf_dir))[1] if h["count_update"]]
-    return traversal.history_frame(spark, history, "iter int, count_update long, sum_abs_delta long")
+    return _checks(spark, sf_dir, lambda graph: checked.cc_program())
+
 
+KCORE_CHECK = ("SELECT id, indegree AS value FROM deg", "count(*)", "coalesce(got, 0)", f"value < {K} AND lived")
 
-@query(f"{graph_sql()}, {KCORE_CTE}, t AS ({each_round('SELECT ROUND::INTEGER AS iter, count(*) FILTER (died) AS count_update, sum(delta)::BIGINT AS sum_abs_delta FROM PREV', CORE_ROUNDS)}) SELECT * FROM t WHERE count_update > 0")
+
+@query(checked_sql(*KCORE_CHECK, "value <> old", "(1.0::DOUBLE / (1 + abs(l.old)))", "value > old", f"value >= {K}"))
 def kcore_checks(spark, sf_dir):
-    history = [h for h in traversal.kcore(_default(spark, sf_dir), K)[1] if h["count_update"]]
-    return traversal.history_frame(spark, history, "iter int, count_update long, sum_abs_delta long")
+    return _checks(spark, sf_dir, lambda graph: checked.kcore_program(K))
+
 
+@query(checked_sql(*KCORE_CHECK, f"value < {K} AND lived", "(1.0::DOUBLE / (1 + abs(l.old)))", "value > old", f"value >= {K}"))
+def kcore_death_checks(spark, sf_dir):
+    return _checks(spark, sf_dir, lambda graph: checked.kcore_program(K, only_deaths=True))
 
-@query(f"{graph_sql(SPARSE)}, {RANK_CTE}, t AS ({each_round('SELECT ROUND::INTEGER AS iter, count(*) FILTER (active) AS active, round(sum(delta), 6) AS sum_abs_delta FROM PREV', RANK_ROUNDS)}) SELECT * FROM t WHERE active > 0")
+
+@query(checked_sql("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS value FROM v", "sum(theirs / outdegree)", "0.15::DOUBLE + 0.85::DOUBLE * coalesce(got, 0.0::DOUBLE)", "abs(value - old) >= 1e-3", "value <> old", "abs(l.old)", "false", rounds=RANK_ROUNDS))
 def pagerank_checks(spark, sf_dir):
-    history = traversal.pagerank(_sparse(spark, sf_dir))[1]
-    return rounded(traversal.history_frame(spark, history, "iter int, active long, sum_abs_delta double"), "sum_abs_delta")
+    return _checks(spark, sf_dir, lambda graph: checked.pagerank_program(), absolute=1e-9)
+
+
+@query(f"{graph_sql()}, {BFS_CTE} SELECT id, distance AS value FROM r{BFS_ROUNDS}")
+def bfs_checked_levels(spark, sf_dir):
+    graph = part_graph(spark, sf_dir)
+    return checked.run_checked(graph, checked.bfs_program(best_source(graph)))[0].select("id", "value")
 
 
 def score_sql(term: str, source: str) -> str:
@@ -230,14 +291,14 @@ def score_sql(term: str, source: str) -> str:
 
 @query(f"{graph_sql()}, {BFS_CTE} {score_sql('(1.0::DOUBLE / (1 + distance))', f'r{BFS_ROUNDS}')}")
 def score_bfs(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     values = traversal.bfs(graph, best_source(graph))[0].select("id", F.col("distance").alias("value"))
     return rounded(detection.criticality(graph, values, "distance"), "score")
 
 
-@query(f"{graph_sql(SPARSE)}, {LABEL_CTE} {score_sql('(1.0::DOUBLE / (1 + abs(label)))', f'r{LABEL_ROUNDS}')}")
+@query(f"{graph_sql()}, {LABEL_CTE} {score_sql('(1.0::DOUBLE / (1 + abs(label)))', f'r{LABEL_ROUNDS}')}")
 def score_cc(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return rounded(detection.criticality(graph, traversal.max_labels(graph)[0].select("id", F.col("label").alias("value"))), "score")
 
 
@@ -246,42 +307,42 @@ INDEGREE_SCORE = score_sql("(1.0::DOUBLE / (1 + x.indegree))", "deg").replace("o
 
 @query(f"{graph_sql()} {INDEGREE_SCORE}")
 def score_kcore(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return rounded(detection.criticality(graph, graph.degrees().select("id", F.col("indegree").alias("value"))), "score")
 
 
-@query(f"{graph_sql(SPARSE)}, {RANK_CTE} {score_sql('abs(rank)', f'r{RANK_ROUNDS}')}")
+@query(f"{graph_sql()}, {RANK_CTE} {score_sql('abs(rank)', f'r{RANK_ROUNDS}')}")
 def score_pagerank(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return rounded(detection.criticality(graph, traversal.pagerank(graph)[0].select("id", F.col("rank").alias("value")), "rank"), "score")
 
 
 @query(f"{graph_sql()} SELECT greatest(max(outdegree), 1) AS max_outdegree FROM deg")
 def max_outdegree(spark, sf_dir):
-    return detection.max_outdegree(_default(spark, sf_dir))
+    return detection.max_outdegree(part_graph(spark, sf_dir))
 
 
 def _lanes(graph: Graph) -> DataFrame:
     """Vertices with fewer in-edges than the core needs are active; the scores of the in-degrees decide what is critical."""
     degrees = graph.degrees()
     critical = detection.criticality(graph, degrees.select("id", F.col("indegree").alias("value"))).select("id", "critical")
-    return degrees.select("id", (F.col("indegree") < 9).alias("active")).join(critical, "id")
+    return degrees.select("id", (F.col("indegree") < 25).alias("active")).join(critical, "id")
 
 
-LANES_SQL = f"c AS MATERIALIZED ({INDEGREE_SCORE}), lanes AS MATERIALIZED (SELECT deg.id, indegree < 9 AS active, critical, deg.id // 256 AS block FROM deg JOIN c ON c.id = deg.id)"
+LANES_SQL = f"c AS MATERIALIZED ({INDEGREE_SCORE}), lanes AS MATERIALIZED (SELECT deg.id, indegree < 25 AS active, critical, deg.id // 256 AS block FROM deg JOIN c ON c.id = deg.id)"
 
 
 @query(f"""{graph_sql()}, {LANES_SQL}, n AS (SELECT count(*) AS size FROM v),
     idle AS (SELECT block, count(*) FILTER (NOT active) + (CASE WHEN block = (max(size) - 1) // 256 THEN ((max(size) - 1) // 256 + 1) * 256 - max(size) ELSE 0 END) AS idle FROM lanes CROSS JOIN n GROUP BY block)
     SELECT id, rn <= idle AS covered FROM (SELECT id, block, row_number() OVER (PARTITION BY block ORDER BY id) AS rn FROM lanes WHERE active AND critical) JOIN idle USING (block)""")
 def dmr_coverage(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return detection.dmr_coverage(_lanes(graph), graph.vertices.count())
 
 
 @query(f"{graph_sql()}, {LANES_SQL} SELECT id, id % 97 = 0 AS mismatch FROM lanes WHERE critical")
 def dmr_check(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     counted = graph.degrees().select("id", F.col("indegree").alias("value"))
     critical = _lanes(graph).where("critical").select("id")
     again = graph.edges.join(critical.withColumnRenamed("id", "dst"), "dst", "right").groupBy(F.col("dst").alias("id")).agg(F.count("src").alias("value"))
@@ -289,18 +350,31 @@ def dmr_check(spark, sf_dir):
     return detection.dmr_compare(counted, faulty)
 
 
-@query(f"{graph_sql(SPARSE)} SELECT id, id % 89 = 0 AS mismatch FROM deg")
+@query(f"{graph_sql()}, {RANK_CTE}, c AS ({score_sql('abs(rank)', f'r{RANK_ROUNDS}')}) SELECT id, id % 89 = 0 AS mismatch FROM c WHERE critical")
 def dmr_check_pr(spark, sf_dir):
-    graph = _sparse(spark, sf_dir)
-    ranks = traversal.pagerank(graph)[0].select("id", F.col("rank").alias("value"))
-    faulty = ranks.select("id", F.when(F.col("id") % 89 == 0, F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("value") + 0.1)).otherwise(F.col("value")).alias("value"))
-    return detection.dmr_compare(ranks, faulty, absolute=1e-9)
-
-
-@query(f"{graph_sql()} SELECT count(*) FILTER (outdegree > indegree) AS violations, bool_or(outdegree > indegree) AS monotonic_error FROM deg")
+    """One more round from the ranks of a run: all vertices from merged shares, the critical ones again from the raw edges."""
+    graph = part_graph(spark, sf_dir)
+    ranks = traversal.pagerank(graph)[0]
+    critical = detection.criticality(graph, ranks.select("id", F.col("rank").alias("value")), "rank").where("critical").select("id")
+    pull = lambda got: F.lit(1 - traversal.ALPHA) + F.lit(traversal.ALPHA) * F.coalesce(got, F.lit(0.0))
+    sent = ranks.select(F.col("id").alias("src"), "rank")
+    shares = traversal.out_shares(graph).join(sent, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    primary = graph.vertices.join(shares, "id", "left").select("id", pull(F.col("got")).alias("value"))
+    each = sent.join(graph.degrees().select(F.col("id").alias("src"), "outdegree"), "src").select("src", (F.col("rank") / F.col("outdegree")).alias("part"))
+    raw = graph.edges.join(each, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
+    again = critical.join(raw, "id", "left").select("id", pull(F.col("got")).alias("value"))
+    faulty = again.select("id", F.when(F.col("id") % 89 == 0, F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("value") + 0.1)).otherwise(F.col("value")).alias("value"))
+    return detection.dmr_compare(primary, faulty, absolute=1e-9)
+
+
+@query(f"""{graph_sql()}, {BFS_CTE} SELECT 'onward' AS direction, count(*) FILTER (b.distance > a.distance) AS violations, bool_or(b.distance > a.distance) AS monotonic_error FROM r1 a JOIN r2 b USING (id)
+    UNION ALL SELECT 'back', count(*) FILTER (a.distance > b.distance), bool_or(a.distance > b.distance) FROM r1 a JOIN r2 b USING (id)""")
 def monotonic_check(spark, sf_dir):
-    degrees = _default(spark, sf_dir).degrees()
-    return detection.monotonic_violations(degrees.select("id", F.col("indegree").alias("value")), degrees.select("id", F.col("outdegree").alias("value")), rising=False)
+    """Two rounds of a run, in their order and set back to the earlier one."""
+    graph = part_graph(spark, sf_dir)
+    one, two = (traversal.bfs(graph, best_source(graph), max_rounds=n)[0].select("id", F.col("distance").alias("value")) for n in (1, 2))
+    found = [detection.monotonic_violations(before, after, rising=False).select(F.lit(name).alias("direction"), "*") for name, before, after in (("onward", one, two), ("back", two, one))]
+    return found[0].unionByName(found[1])
 
 
 RANK_CHECKS = """SELECT CAST(event_id % 40 AS INTEGER) AS iter, event_id % 307 <> 0 AS done, event_id % 211 = 0 AS dmr_error, event_id % 223 = 0 AS monotonic_error,
@@ -355,25 +429,25 @@ def partition_owner(spark, sf_dir):
 
 @query(f"{graph_sql()}, {OWNED_SQL} SELECT rank, size AS owned, (SELECT count(*) FROM gh WHERE gh.rank = r.rank) AS ghosts, (SELECT count(*) FROM cut WHERE sr = r.rank) AS out_edges, (SELECT count(*) FROM cut WHERE dr = r.rank) AS in_edges FROM ranges r")
 def partition_sizes(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return partitioning.partition_sizes(graph, graph.vertices.count(), RANKS)
 
 
 @query(f"{graph_sql()}, {OWNED_SQL} SELECT rank, vertex FROM gh")
 def ghost_vertices(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return partitioning.ghost_vertices(graph, graph.vertices.count(), RANKS)
 
 
 @query(f"{graph_sql()}, {OWNED_SQL} SELECT DISTINCT sr AS sender, dr AS owner, dst AS vertex FROM cut WHERE sr <> dr")
 def activation_plan(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return partitioning.activation_plan(graph, graph.vertices.count(), RANKS)
 
 
 @query(f"{graph_sql()}, {OWNED_SQL} SELECT own.rank AS owner, gh.rank AS receiver, vertex FROM gh JOIN own ON own.id = vertex")
 def value_plan(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return partitioning.value_plan(graph, graph.vertices.count(), RANKS)
 
 
@@ -382,7 +456,7 @@ def value_plan(spark, sf_dir):
     c AS (SELECT sender, receiver, coalesce(activations, 0) AS activations, coalesce(vertex_values, 0) AS vertex_values FROM a FULL JOIN b USING (sender, receiver))
     SELECT *, coalesce(sum(vertex_values) OVER (PARTITION BY sender ORDER BY receiver ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS displacement FROM c""")
 def exchange_volume(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     return partitioning.exchange_volume(graph, graph.vertices.count(), RANKS)
 
 
@@ -425,7 +499,7 @@ def mtx_header(spark, sf_dir):
 
 @query(f"{graph_sql()} SELECT 0::BIGINT AS pos, '%%MatrixMarket matrix coordinate pattern general' AS value UNION ALL SELECT 1, concat(n, ' ', n, ' ', (SELECT count(*) FROM e)) FROM (SELECT count(*) AS n FROM v) UNION ALL SELECT 2, concat(src, ' ', dst) FROM e")
 def mtx_write(spark, sf_dir):
-    return edge_files.mtx_lines(_default(spark, sf_dir))
+    return edge_files.mtx_lines(part_graph(spark, sf_dir))
 
 
 @query(PARSED_LIST_SQL)
@@ -443,9 +517,9 @@ def dedupe_edges(spark, sf_dir):
     return edge_files.dedupe_edges(raw_pairs(spark, sf_dir))
 
 
-@query(f"SELECT src - 1 AS src, dst - 1 AS dst FROM (SELECT src + 1 AS src, dst + 1 AS dst FROM ({part_next_sql(DEFAULT)})) WHERE (SELECT count(*) FROM part) > 0")
+@query(f"SELECT src - 1 AS src, dst - 1 AS dst FROM (SELECT src + 1 AS src, dst + 1 AS dst FROM ({PART_NEXT_SQL})) WHERE (SELECT count(*) FROM part) > 0")
 def rebase_ids(spark, sf_dir):
-    graph = _default(spark, sf_dir)
+    graph = part_graph(spark, sf_dir)
     moved = graph.edges.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"))
     return edge_files.rebase_ids(moved, "auto", graph.vertices.count())
 
@@ -464,9 +538,9 @@ def compact_edges(spark, sf_dir):
     return edge_files.compact_edges(edge_files.edge_list_parse(_list_lines(spark, sf_dir)))
 
 
-@query(f"SELECT src, dst FROM ({part_next_sql(SPARSE)}) UNION ALL SELECT dst AS src, src AS dst FROM ({part_next_sql(SPARSE)})")
+@query(f"SELECT src, dst FROM ({PART_NEXT_SQL}) UNION ALL SELECT dst AS src, src AS dst FROM ({PART_NEXT_SQL})")
 def symmetrize(spark, sf_dir):
-    return _sparse(spark, sf_dir).symmetrize().edges
+    return part_graph(spark, sf_dir).symmetrize().edges
 
 
 def offsets_sql(degree: str) -> str:
@@ -475,12 +549,12 @@ def offsets_sql(degree: str) -> str:
 
 @query(offsets_sql("outdegree"))
 def csr_offsets(spark, sf_dir):
-    return edge_files.offsets(_default(spark, sf_dir), "src")
+    return edge_files.offsets(part_graph(spark, sf_dir), "src")
 
 
 @query(offsets_sql("indegree"))
 def csc_offsets(spark, sf_dir):
-    return edge_files.offsets(_default(spark, sf_dir), "dst")
+    return edge_files.offsets(part_graph(spark, sf_dir), "dst")
 
 
 @query("SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2")
@@ -496,17 +570,17 @@ TRIANGLES = "tri AS MATERIALIZED (SELECT x.u AS a, x.v AS b, y.v AS c FROM s x J
 
 @query(f"{graph_sql()} SELECT id, outdegree, indegree, total_degree FROM deg")
 def degrees(spark, sf_dir):
-    return _default(spark, sf_dir).degrees()
+    return part_graph(spark, sf_dir).degrees()
 
 
 @query(f"{graph_sql()} SELECT count(*) AS v, sum(outdegree)::BIGINT AS e, max(total_degree) AS dmax, round(2.0::DOUBLE * sum(outdegree) / count(*), 6) AS davg FROM deg")
 def graph_summary(spark, sf_dir):
-    return rounded(statistics.graph_summary(_default(spark, sf_dir)), "davg")
+    return rounded(statistics.graph_summary(part_graph(spark, sf_dir)), "davg")
 
 
 @query(f"{graph_sql()}, {SIMPLE_DEGREES} SELECT count(*) AS v, (sum(degree) // 2)::BIGINT AS e, max(degree) AS dmax, round(sum(degree)::DOUBLE / count(*), 6) AS davg FROM sd")
 def graph_summary_simple(spark, sf_dir):
-    return rounded(statistics.graph_summary_simple(_default(spark, sf_dir)), "davg")
+    return rounded(statistics.graph_summary_simple(part_graph(spark, sf_dir)), "davg")
 
 
 def assort_sql(pairs: str) -> str:
@@ -515,27 +589,27 @@ def assort_sql(pairs: str) -> str:
 
 @query(f"{graph_sql()} {assort_sql('SELECT a.total_degree::DOUBLE AS j, b.total_degree::DOUBLE AS k FROM e JOIN deg a ON a.id = src JOIN deg b ON b.id = dst')}")
 def assortativity_directed(spark, sf_dir):
-    return rounded(statistics.assortativity_directed(_default(spark, sf_dir)), "r")
+    return rounded(statistics.assortativity_directed(part_graph(spark, sf_dir)), "r")
 
 
 @query(f"{graph_sql()}, {SIMPLE_DEGREES} {assort_sql('SELECT a.degree::DOUBLE AS j, b.degree::DOUBLE AS k FROM s JOIN sd a ON a.id = u JOIN sd b ON b.id = v')}")
 def assortativity_simple(spark, sf_dir):
-    return rounded(statistics.assortativity_simple(_default(spark, sf_dir)), "r")
+    return rounded(statistics.assortativity_simple(part_graph(spark, sf_dir)), "r")
 
 
 @query(f"{graph_sql()}, {TRIANGLES} SELECT count(*) AS triangles FROM tri")
 def triangle_count(spark, sf_dir):
-    return statistics.triangle_count(_default(spark, sf_dir))
+    return statistics.triangle_count(part_graph(spark, sf_dir))
 
 
 @query(f"{graph_sql()}, {TRIANGLES} SELECT v.id, coalesce(n, 0)::BIGINT AS triangles FROM v LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY 1) USING (id)")
 def triangles_per_vertex(spark, sf_dir):
-    return statistics.triangles_per_vertex(_default(spark, sf_dir))
+    return statistics.triangles_per_vertex(part_graph(spark, sf_dir))
 
 
 @query(f"{graph_sql()}, {TRIANGLES}, n AS (SELECT u, v, count(*) AS n FROM (SELECT a AS u, b AS v FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri) GROUP BY 1, 2) SELECT round(coalesce(sum(n), 0)::DOUBLE / count(*), 6) AS t_avg, coalesce(max(n), 0)::BIGINT AS t_max FROM s LEFT JOIN n USING (u, v)")
 def edge_triangles(spark, sf_dir):
-    return rounded(statistics.edge_triangles(_default(spark, sf_dir)), "t_avg")
+    return rounded(statistics.edge_triangles(part_graph(spark, sf_dir)), "t_avg")
 
 
 CORNERS = "cor AS (SELECT v.id, coalesce(n, 0) AS t FROM v LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY 1) USING (id))"
@@ -543,12 +617,12 @@ CORNERS = "cor AS (SELECT v.id, coalesce(n, 0) AS t FROM v LEFT JOIN (SELECT id,
 
 @query(f"{graph_sql()}, {SIMPLE_DEGREES}, {TRIANGLES}, {CORNERS} SELECT round(avg(CASE WHEN degree >= 2 THEN 2.0::DOUBLE * t / (degree * (degree - 1)) ELSE 0.0::DOUBLE END), 6) AS kappa_avg FROM sd JOIN cor USING (id)")
 def clustering_local(spark, sf_dir):
-    return rounded(statistics.clustering_local(_default(spark, sf_dir)), "kappa_avg")
+    return rounded(statistics.clustering_local(part_graph(spark, sf_dir)), "kappa_avg")
 
 
 @query(f"{graph_sql()}, {SIMPLE_DEGREES}, {TRIANGLES} SELECT round(3.0::DOUBLE * (SELECT count(*) FROM tri) / (SELECT sum(degree * (degree - 1) // 2) FROM sd), 6) AS kappa")
 def clustering_global(spark, sf_dir):
-    return rounded(statistics.clustering_global(_default(spark, sf_dir)), "kappa")
+    return rounded(statistics.clustering_global(part_graph(spark, sf_dir)), "kappa")
 
 
 def clique_sql(rounds: int = 15) -> str:
@@ -563,18 +637,18 @@ def clique_sql(rounds: int = 15) -> str:
 
 @query(clique_sql())
 def clique_lower_bound(spark, sf_dir):
-    return statistics.clique_lower_bound(_default(spark, sf_dir))
+    return statistics.clique_lower_bound(part_graph(spark, sf_dir))
 
 
 @query(f"{graph_sql()} SELECT row_number() OVER (ORDER BY outdegree DESC, total_degree DESC, id)::INTEGER AS rank, id AS vertex, outdegree, indegree, total_degree FROM deg ORDER BY outdegree DESC, total_degree DESC, id LIMIT 10")
 def top_sources(spark, sf_dir):
-    return statistics.top_sources(_default(spark, sf_dir), 10)
+    return statistics.top_sources(part_graph(spark, sf_dir), 10)
 
 
 @query(f"""{graph_sql()} SELECT 'part_next' AS dataset, t.nodes, t.valid_edges AS edges, t.valid_edges, d.id AS bfs_source, d.outdegree AS bfs_source_outdegree, d.indegree AS bfs_source_indegree, d.total_degree AS bfs_source_total_degree,
     round(2.0::DOUBLE * t.valid_edges / t.nodes, 6) AS avg_degree, round(t.valid_edges::DOUBLE / t.nodes, 6) AS avg_outdegree FROM (SELECT count(*) AS nodes, sum(outdegree)::BIGINT AS valid_edges FROM deg) t CROSS JOIN (SELECT deg.* FROM deg JOIN src0 USING (id)) d""")
 def source_metadata(spark, sf_dir):
-    return rounded(statistics.source_metadata(_default(spark, sf_dir), "part_next"), "avg_degree", "avg_outdegree")
+    return rounded(statistics.source_metadata(part_graph(spark, sf_dir), "part_next"), "avg_degree", "avg_outdegree")
 
 
 # --- comparison -------------------------------------------------------------------------------------------------------
@@ -582,18 +656,18 @@ def source_metadata(spark, sf_dir):
 
 @query(f"{graph_sql()} SELECT id, indegree AS expected, indegree + (CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END) AS got FROM deg WHERE id % 50 = 0 ORDER BY id LIMIT 20")
 def result_diff(spark, sf_dir):
-    values = _default(spark, sf_dir).degrees().select("id", F.col("indegree").alias("value"))
+    values = part_graph(spark, sf_dir).degrees().select("id", F.col("indegree").alias("value"))
     return compare.result_diff(values, values.select("id", (F.col("value") + F.when(F.col("id") % 50 == 0, 1).otherwise(0)).alias("value")))
 
 
 @query(f"{graph_sql()} SELECT count(*) FILTER (NOT (indegree = outdegree OR (indegree < {K} AND outdegree < {K}))) AS mismatches, count(*) AS compared FROM deg")
 def kcore_compare(spark, sf_dir):
-    d = _default(spark, sf_dir).degrees()
+    d = part_graph(spark, sf_dir).degrees()
     return compare.core_diff(d.select("id", F.col("indegree").alias("value")), d.select("id", F.col("outdegree").alias("value")), K)
 
 
-@query(f"{graph_sql(SPARSE)}, {RANK_CTE}, c AS (SELECT rank AS a, rank * (1 + (id % 7) * 0.01::DOUBLE) AS b FROM r{RANK_ROUNDS}) SELECT count(*) FILTER (abs(a - b) > 1e-2::DOUBLE + 1e-4::DOUBLE * abs(a)) AS mismatches, round(max(abs(a - b)), 6) AS max_abs_error, round(max(abs(a - b) / abs(a)), 6) AS max_rel_error FROM c")
+@query(f"{graph_sql()}, {RANK_CTE}, c AS (SELECT rank AS a, rank * (1 + (id % 7) * 0.01::DOUBLE) AS b FROM r{RANK_ROUNDS}) SELECT count(*) FILTER (abs(a - b) > 1e-2::DOUBLE + 1e-4::DOUBLE * abs(a)) AS mismatches, round(max(abs(a - b)), 6) AS max_abs_error, round(max(abs(a - b) / abs(a)), 6) AS max_rel_error FROM c")
 def pr_compare(spark, sf_dir):
-    ranks = traversal.pagerank(_sparse(spark, sf_dir))[0].select("id", F.col("rank").alias("value"))
+    ranks = traversal.pagerank(part_graph(spark, sf_dir))[0].select("id", F.col("rank").alias("value"))
     moved = ranks.select("id", (F.col("value") * (1 + (F.col("id") % 7) * 0.01)).alias("value"))
     return rounded(compare.close_diff(ranks, moved), "max_abs_error", "max_rel_error")
