@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Methods by where they run, and their pairs (baseline, checked).
 SINGLE, MULTI = ("basic", "tolerance_queue"), ("multigpu_basic", "multigpu")
 MODES = {"1gpu": SINGLE, "multigpu": MULTI}
+#: The timings of a rank, in milliseconds, the last two being sums of others.
+METRICS = (
+    "main_loop", "gpu_compute", "graph_kernel", "cpu_check_drain", "nccl_exchange", "mpi_sync", "postcheck_total", "postcheck_mpi", "communication", "algorithm_total",
+)
 
 
 def gpu_mode(method: Column) -> Column:
@@ -78,3 +82,33 @@ def stats(value: Column, prefix: str) -> list[Column]:
         "p25": F.percentile(value, F.lit(0.25)), "p75": F.percentile(value, F.lit(0.75)), "min": F.min(value), "max": F.max(value),
     }
     return [c.alias(f"{prefix}_{k}") for k, c in found.items()]
+
+
+def rank_sums(value) -> dict[str, Column]:
+    """All metrics from the measured ones: ``value`` gives the column of a metric."""
+    out = {name: value(name) for name in METRICS[:-2]}
+    out["communication"] = out["nccl_exchange"] + out["mpi_sync"] + out["postcheck_mpi"]
+    out["algorithm_total"] = out["main_loop"] + out["cpu_check_drain"] + out["postcheck_total"]
+    return out
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """The URL that ``href`` names on the page ``base``."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^([^#]*)", 1)
+    own = F.regexp_extract(href, r"^([^?#]*)", 1)
+    rest = F.substring(href, F.length(own) + 1, F.length(href))
+    whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_extract(F.when(path == "", F.lit("/")).otherwise(path), r"^(.*/)", 1), own))
+    parts = F.aggregate(
+        F.split(whole, "/"), F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done).when(part == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).otherwise(F.array_append(done, part)),
+    )
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
+        .when((own == "") & F.startswith(rest, F.lit("?")), F.concat(origin, path, rest))
+        .when(own == "", F.concat(query, rest))
+        .otherwise(F.concat(origin, F.array_join(parts, "/"), rest))
+    )

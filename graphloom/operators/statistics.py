@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans import Graph, scratch
+from .traversal import core_numbers
 
 
 def graph_summary(graph: Graph) -> DataFrame:
@@ -142,3 +143,15 @@ def source_metadata(graph: Graph, name: str) -> DataFrame:
         F.col("indegree").alias("bfs_source_indegree"), F.col("total_degree").alias("bfs_source_total_degree"),
         F.try_divide(F.lit(2.0) * F.col("valid_edges"), F.col("nodes")).alias("avg_degree"), F.try_divide(F.col("valid_edges").cast("double"), F.col("nodes")).alias("avg_outdegree"),
     )
+
+
+def describe(graphs: dict[str, Graph]) -> DataFrame:
+    """One row a graph: all statistics of its simple graph, by name."""
+    found = None
+    for name, graph in graphs.items():
+        row = graph_summary_simple(graph).withColumn("dataset", F.lit(name))
+        core = core_numbers(graph)[0].agg(F.coalesce(F.max("core"), F.lit(0)).alias("k_max"))
+        for one in (assortativity_simple(graph), triangle_count(graph), edge_triangles(graph), clustering_local(graph), clustering_global(graph), core, clique_lower_bound(graph)):
+            row = row.crossJoin(one)  # one row each
+        found = row if found is None else found.unionByName(row)
+    return found

@@ -28,13 +28,13 @@ PART_NEXT_SQL = """SELECT src, dst FROM (SELECT CAST(l_partkey AS BIGINT) AS src
 
 
 def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users whose events of a kind follow each other."""
-    events = table(spark, sf_dir, "events")
-    return Graph(events.select(F.col("user_id").alias("id")).distinct(), _consecutive(events, "event_type", "user_id", "ts", "event_id"))
+    """Users whose events follow each other on a day."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return Graph(events.select(F.col("user_id").alias("id")).distinct(), _consecutive(events, "day", "user_id", "ts", "event_id"))
 
 
 USERS_SQL = "SELECT DISTINCT CAST(user_id AS BIGINT) AS id FROM events"
-USER_NEXT_SQL = """SELECT src, dst FROM (SELECT CAST(user_id AS BIGINT) AS src, CAST(lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS dst
+USER_NEXT_SQL = """SELECT src, dst FROM (SELECT CAST(user_id AS BIGINT) AS src, CAST(lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT) AS dst
         FROM events) WHERE dst IS NOT NULL AND src <> dst"""
 
 

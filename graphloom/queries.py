@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .operators import checked, compare, detection, partitioning, statistics, traversal
 from .plans import Graph
 from .plans.derived import ORDER_CHAIN_SQL, PART_NEXT_SQL, RAW_PAIRS_SQL, USER_NEXT_SQL, USERS_SQL, order_chain, part_graph, raw_pairs, table, user_graph
-from .sources import edge_files
+from .functions import text
+from .sources import edge_files, run_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -557,11 +558,81 @@ def csc_offsets(spark, sf_dir):
     return edge_files.offsets(part_graph(spark, sf_dir), "dst")
 
 
-@query("SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2")
+@query("""SELECT page_id, page_url, url, (min(i) - 1)::INTEGER AS place, count(*) AS n FROM (SELECT page_id, url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS url, i FROM (
+        SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages) WHERE href LIKE '/%') GROUP BY 1, 2, 3""")
 def page_links(spark, sf_dir):
     return edge_files.page_links(table(spark, sf_dir, "pages"))
 
 
+WEIGHTED = "SELECT user_id AS u, event_id % 97 AS v, CASE WHEN event_id % 3 = 0 THEN '1' ELSE CAST(event_id % 5 AS VARCHAR) END AS w FROM events WHERE event_id % 11 <> 0"
+
+
+@query(f"""SELECT 0::BIGINT AS pos, '%%MatrixMarket matrix coordinate real general' AS value UNION ALL SELECT 1, (SELECT concat(max(greatest(u, v)), ' ', max(greatest(u, v)), ' ', count(*)) FROM ({WEIGHTED}))
+    UNION ALL SELECT 2, concat(u, ' ', v, ' ', w) FROM ({WEIGHTED})""")
+def mtx_write_weighted(spark, sf_dir):
+    i = F.col("event_id")
+    pair = F.concat_ws(" ", "user_id", i % 97)
+    value = F.when(i % 11 == 0, F.concat(F.lit("/ "), pair)).when(i % 3 == 0, pair).otherwise(F.concat_ws("\t", pair, i % 5))
+    return edge_files.weighted_mtx_lines(table(spark, sf_dir, "events").select(i.alias("pos"), value.alias("value")))
+
+
+@query(f"{graph_sql()} SELECT 0::BIGINT AS pos, '%%MatrixMarket matrix coordinate pattern general' AS value UNION ALL SELECT 1, concat(n, ' ', n, ' ', (SELECT count(*) FROM e)) FROM (SELECT count(*) AS n FROM v) UNION ALL SELECT 2, concat(src + 1, ' ', dst + 1) FROM e")
+def mtx_write_one_based(spark, sf_dir):
+    return edge_files.mtx_lines(part_graph(spark, sf_dir), first_id=1)
+
+
+KINDS = "['.mtx', '.edges', '.TXT', '.csv', '.tsv', '.out', '.dat', '.zip']"
+
+
+@query(f"""SELECT path, size_bytes, lower(k[2:]) AS kind, [0, 1, 2, 3, 3, 4, 5][i]::INTEGER AS preference FROM (SELECT CASE WHEN p_partkey % 10 = 3 THEN 'a/README' WHEN p_partkey % 10 = 4 THEN 'a/.x' ELSE 'a/g' END || p_partkey || ({KINDS})[p_partkey % 8 + 1] AS path,
+    CAST(p_size AS BIGINT) AS size_bytes, ({KINDS})[p_partkey % 8 + 1] AS k, p_partkey % 8 + 1 AS i, p_partkey % 10 AS o FROM part) WHERE i < 8 AND o NOT IN (3, 4)""")
+def candidate_files(spark, sf_dir):
+    key = F.col("p_partkey")
+    kinds = F.array(*[F.lit(k) for k in (".mtx", ".edges", ".TXT", ".csv", ".tsv", ".out", ".dat", ".zip")])
+    name = F.concat(F.when(key % 10 == 3, "a/README").when(key % 10 == 4, "a/.x").otherwise("a/g"), key.cast("string"), F.get(kinds, (key % 8).cast("int")))
+    return run_files.candidate_files(table(spark, sf_dir, "part").select(name.alias("path"), F.col("p_size").cast("long").alias("size_bytes")))
+
+
+@query(f"""WITH c AS (SELECT unnest({run_files.SNAP!r}) AS dataset, 'snap' AS o UNION ALL SELECT unnest({run_files.NETWORK_REPOSITORY!r}), 'other'),
+    l AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END, p_partkey) AS rn FROM (
+        SELECT c.dataset, p_partkey, p_partkey % 3 AS kind, 'https://' || CASE p_partkey % 3 WHEN 2 THEN 'nrvis.com' ELSE 'example.org' END || '/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.gz' ELSE '.zip' END AS url
+        FROM c JOIN part ON p_partkey < 40 AND p_partkey % 14 = length(c.dataset) % 14 AND o = 'other'))
+    SELECT c.dataset, CASE WHEN o = 'snap' THEN 'https://snap.stanford.edu/data/' || c.dataset || '.txt.gz' ELSE coalesce(url, 'https://nrvis.com/download/data/' || c.dataset[1:3] || '/' || c.dataset || '.zip') END AS url
+    FROM c LEFT JOIN l ON l.dataset = c.dataset AND rn = 1""")
+def archive_choice(spark, sf_dir):
+    """Links made up from the first parts: a third of them archives of the best kind."""
+    known, key = run_files.catalog(spark), F.col("p_partkey")
+    url = F.concat(F.lit("https://"), F.when(key % 3 == 2, "nrvis.com").otherwise("example.org"), F.lit("/"), key.cast("string"), F.when(key % 3 == 0, ".gz").otherwise(".zip"))
+    part = table(spark, sf_dir, "part").where(key < 40)
+    links = known.join(part, key % 14 == F.length("dataset") % 14).select("page_url", url.alias("url"), key.alias("place"))
+    return run_files.archive_choice(known, links)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'nan' ELSE printf('%.6f', value) END AS fixed, concat('a\\|b', event_id, ' c') AS cell, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS moment,
+    concat('{"k":', event_id % 10, '}') AS json FROM events""")
+def text_cells(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        i, text.fixed_decimals(F.when(i % 7 != 0, F.col("value"))).alias("fixed"), text.markdown_cell(F.concat(F.lit("a|b"), i, F.lit("\nc"))).alias("cell"),
+        text.utc_text(F.col("ts").cast("timestamp_ntz")).alias("moment"), F.to_json(F.struct((i % 10).alias("k"))).alias("json"),
+    )
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS rows, count(DISTINCT {key}) AS keys, min({key})::BIGINT AS first_key, max({key})::BIGINT AS last_key FROM {name}" for name, key in zip(TABLES, "r_regionkey n_nationkey c_custkey s_suppkey p_partkey o_orderkey l_orderkey event_id doc_id vec_id page_id item_id doc_id conv_id".split())))
+def scan_tables(spark, sf_dir):
+    """What each table holds, from its key column alone."""
+    found = None
+    for name in TABLES:
+        rows = table(spark, sf_dir, name)
+        key = F.col(rows.columns[0])
+        one = rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.min(key).cast("long").alias("first_key"), F.max(key).cast("long").alias("last_key"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 # --- statistics -------------------------------------------------------------------------------------------------------
 
 SIMPLE_DEGREES = "sd AS MATERIALIZED (SELECT v.id, coalesce(n, 0)::BIGINT AS degree FROM v LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT u AS id FROM s UNION ALL SELECT v AS id FROM s) GROUP BY 1) USING (id))"
@@ -625,6 +696,16 @@ def clustering_global(spark, sf_dir):
     return rounded(statistics.clustering_global(part_graph(spark, sf_dir)), "kappa")
 
 
+@query(f"""{graph_sql()}, {SIMPLE_DEGREES}, {TRIANGLES}, {CORNERS}, {INDEX_CTE}, n AS (SELECT u, v, count(*) AS n FROM (SELECT a AS u, b AS v FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri) GROUP BY 1, 2)
+    SELECT 'parts' AS dataset, (SELECT count(*) FROM sd) AS v, (SELECT (sum(degree) // 2)::BIGINT FROM sd) AS e, (SELECT max(degree) FROM sd) AS dmax, (SELECT round(sum(degree)::DOUBLE / count(*), 6) FROM sd) AS davg,
+    (SELECT r FROM ({assort_sql('SELECT a.degree::DOUBLE AS j, b.degree::DOUBLE AS k FROM s JOIN sd a ON a.id = u JOIN sd b ON b.id = v')})) AS r, (SELECT count(*) FROM tri) AS triangles,
+    (SELECT round(coalesce(sum(n), 0)::DOUBLE / count(*), 6) FROM s LEFT JOIN n USING (u, v)) AS t_avg, (SELECT coalesce(max(n), 0)::BIGINT FROM n) AS t_max,
+    (SELECT round(avg(CASE WHEN degree >= 2 THEN 2.0::DOUBLE * t / (degree * (degree - 1)) ELSE 0.0::DOUBLE END), 6) FROM sd JOIN cor USING (id)) AS kappa_avg,
+    (SELECT round(3.0::DOUBLE * (SELECT count(*) FROM tri) / sum(degree * (degree - 1) // 2), 6) FROM sd) AS kappa, (SELECT max(core) FROM r{CORE_ROUNDS}) AS k_max""")
+def graph_statistics(spark, sf_dir):
+    return rounded(statistics.describe({"parts": part_graph(spark, sf_dir)}).drop("omega_lb"), "davg", "r", "t_avg", "kappa_avg", "kappa")
+
+
 def clique_sql(rounds: int = 15) -> str:
     parts = [f"{graph_sql()}, {SIMPLE_DEGREES}, nb AS MATERIALIZED (SELECT u AS x, v AS y FROM s UNION ALL SELECT v, u FROM s)"]
     for name, order in (("a", "id"), ("b", "id DESC")):

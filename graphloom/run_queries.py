@@ -12,6 +12,8 @@ from .queries import query, rounded
 
 DATASETS = tuple(f"ds{i}" for i in range(6))
 REPEAT, WARMUP = 5, 1
+#: How often a setting differs; else it is blank or absent, which counts the same.
+ODD_SETTINGS = dict(zip([name for name in runs.ENVIRONMENT if name not in ("hostname", "mpi_ranks")], (31, 71, 73, 79, 83, 89, 97, 101)))
 
 
 def _pick(items, i: Column) -> Column:
@@ -32,8 +34,8 @@ def attempts(spark, sf_dir) -> DataFrame:
         "*", record_id(F.col("algorithm"), F.col("dataset"), F.col("phase"), F.col("repeat"), F.col("method")).alias("record_id"),
         F.when(good, F.col("value")).alias("total_ms"), F.when(good, F.when(F.col("attempt_id") % 13 == 0, 11).otherwise(10)).alias("iterations"),
         F.when(good, F.col("value")).alias("rank_max_ms"), F.when(good, F.col("value") * 0.8).alias("rank_mean_ms"),
-        F.when(F.col("attempt_id") % 29 == 0, F.lit("node1 ")).otherwise(F.lit("node0")).alias("hostname"), F.when(F.col("attempt_id") % 31 == 0, F.lit("1")).alias("devices"),
-        F.when(F.col("gpu_mode") == "multigpu", 2).otherwise(1).alias("mpi_ranks"),
+        F.when(F.col("gpu_mode") == "multigpu", 2).otherwise(1).alias("mpi_ranks"), F.when(F.col("attempt_id") % 29 == 0, F.lit("node1 ")).otherwise(F.lit("node0")).alias("hostname"),
+        *[F.when(F.col("attempt_id") % often == 0, F.lit("1")).otherwise(F.when(F.col("attempt_id") % 2 == 0, F.lit(" "))).alias(name) for name, often in ODD_SETTINGS.items()],
     ).drop("value")
 
 
@@ -53,7 +55,7 @@ ATTEMPTS_SQL = f"""a0 AS (SELECT event_id AS attempt_id, ({_list(runs.ALGORITHMS
     concat_ws('.', algorithm, dataset, phase, {_padded('repeat')}, method) AS record_id, CASE WHEN status = 'success' THEN value END AS total_ms,
     CASE WHEN status = 'success' THEN CASE WHEN attempt_id % 13 = 0 THEN 11 ELSE 10 END END::INTEGER AS iterations, CASE WHEN status = 'success' THEN value END AS rank_max_ms,
     CASE WHEN status = 'success' THEN value * 0.8::DOUBLE END AS rank_mean_ms, CASE WHEN attempt_id % 29 = 0 THEN 'node1 ' ELSE 'node0' END AS hostname,
-    CASE WHEN attempt_id % 31 = 0 THEN '1' END AS devices FROM a0)"""
+    CASE WHEN attempt_id % 401 <> 0 AND method IN ('multigpu_basic', 'multigpu') THEN 2 ELSE 1 END AS mpi_ranks, {', '.join(f"CASE WHEN attempt_id % {often} = 0 THEN '1' WHEN attempt_id % 2 = 0 THEN ' ' END AS {name}" for name, often in ODD_SETTINGS.items())} FROM a0)"""
 ITEMS_SQL = f"items AS (SELECT algorithm, dataset, concat_ws('.', algorithm, dataset) AS work_id FROM (SELECT unnest({_list(runs.ALGORITHMS)}) AS algorithm) CROSS JOIN (SELECT unnest({_list(DATASETS)}) AS dataset))"
 EXPECTED_SQL = f"""{ITEMS_SQL}, expected AS MATERIALIZED (SELECT work_id, algorithm, dataset, phase, repeat, method, concat_ws('.', algorithm, dataset, phase, {_padded('repeat')}, method) AS record_id
     FROM items CROSS JOIN (SELECT 'warmup' AS phase, 1::INTEGER AS repeat UNION ALL SELECT 'measure', r::INTEGER FROM range(1, {REPEAT + 1}) t(r)) CROSS JOIN (SELECT unnest({_list(runs.METHODS)}) AS method))"""
@@ -81,15 +83,15 @@ def _pairs(spark, sf_dir) -> DataFrame:
 
 PAIRS_SQL = f"""{ITEMS_SQL}, ep AS (SELECT algorithm, dataset, r::INTEGER AS repeat, gpu_mode, concat_ws('|', algorithm, dataset, {_padded('r')}, gpu_mode) AS pair_id FROM items CROSS JOIN range(1, {REPEAT + 1}) t(r) CROSS JOIN (SELECT unnest(['1gpu', 'multigpu']) AS gpu_mode)),
   obs AS (SELECT * FROM latest UNION ALL SELECT * FROM latest WHERE attempt_id % 47 = 0),
-  m AS (SELECT algorithm, dataset, repeat, gpu_mode, method, count(*) AS n, any_value(status) AS status, any_value(iterations) AS iterations, any_value(rank_max_ms) AS mx, any_value(rank_mean_ms) AS mn, any_value(hostname) AS hostname, any_value(devices) AS devices FROM obs WHERE phase = 'measure' GROUP BY ALL),
+  m AS (SELECT algorithm, dataset, repeat, gpu_mode, method, count(*) AS n, any_value(status) AS status, any_value(iterations) AS iterations, any_value(rank_max_ms) AS mx, any_value(rank_mean_ms) AS mn, {', '.join(f"any_value({name}) AS {name}" for name in runs.ENVIRONMENT)} FROM obs WHERE phase = 'measure' GROUP BY ALL),
   j AS (SELECT ep.*, b.n AS bn, b.status AS bs, b.iterations AS bi, b.mx AS bx, b.mn AS bm, c.n AS cn, c.status AS cs, c.iterations AS ci, c.mx AS cx, c.mn AS cm,
-      trim(coalesce(b.hostname, '')) <> trim(coalesce(c.hostname, '')) AS dh, trim(coalesce(b.devices, '')) <> trim(coalesce(c.devices, '')) AS dd
+      CASE {' '.join(f"WHEN trim(coalesce(CAST(b.{name} AS VARCHAR), '')) <> trim(coalesce(CAST(c.{name} AS VARCHAR), '')) THEN '{name}'" for name in runs.ENVIRONMENT)} END AS differs
     FROM ep LEFT JOIN m b ON b.algorithm = ep.algorithm AND b.dataset = ep.dataset AND b.repeat = ep.repeat AND b.gpu_mode = ep.gpu_mode AND b.method = CASE ep.gpu_mode WHEN '1gpu' THEN 'basic' ELSE 'multigpu_basic' END
     LEFT JOIN m c ON c.algorithm = ep.algorithm AND c.dataset = ep.dataset AND c.repeat = ep.repeat AND c.gpu_mode = ep.gpu_mode AND c.method = CASE ep.gpu_mode WHEN '1gpu' THEN 'tolerance_queue' ELSE 'multigpu' END),
   f AS (SELECT *, concat_ws(';', CASE WHEN bn IS NULL THEN 'missing' WHEN bn > 1 THEN concat('duplicates=', bn) WHEN bs <> 'success' THEN concat('baseline_', bs) END,
       CASE WHEN cn IS NULL THEN 'missing' WHEN cn > 1 THEN concat('duplicates=', cn) WHEN cs <> 'success' THEN concat('checked_', cs) END) AS fault FROM j),
-  pairs AS MATERIALIZED (SELECT *, CASE WHEN fault <> '' THEN 'missing_or_invalid' WHEN dh OR dd THEN 'environment_mismatch' WHEN bi IS DISTINCT FROM ci THEN 'iteration_mismatch' ELSE 'eligible' END AS pair_status,
-      CASE WHEN fault <> '' THEN fault WHEN dh THEN 'environment:hostname' WHEN dd THEN 'environment:devices' WHEN bi IS DISTINCT FROM ci THEN 'iterations differ' ELSE '' END AS exclusion_reason FROM f),
+  pairs AS MATERIALIZED (SELECT *, CASE WHEN fault <> '' THEN 'missing_or_invalid' WHEN differs IS NOT NULL THEN 'environment_mismatch' WHEN bi IS DISTINCT FROM ci THEN 'iteration_mismatch' ELSE 'eligible' END AS pair_status,
+      CASE WHEN fault <> '' THEN fault WHEN differs IS NOT NULL THEN concat('environment:', differs) WHEN bi IS DISTINCT FROM ci THEN 'iterations differ' ELSE '' END AS exclusion_reason FROM f),
   p AS MATERIALIZED (SELECT *, CASE WHEN pair_status = 'eligible' AND bx > 0 THEN (cx / bx - 1) * 100 END AS ov, CASE WHEN pair_status = 'eligible' AND bm > 0 THEN (cm / bm - 1) * 100 END AS mov,
       CASE WHEN gpu_mode = 'multigpu' AND bm > 0 THEN (bx / bm - 1) * 100 END AS ib, CASE WHEN gpu_mode = 'multigpu' AND cm > 0 THEN (cx / cm - 1) * 100 END AS ic FROM pairs)"""
 PAIR_QUERY = f"WITH {ATTEMPTS_SQL}, {LATEST_SQL}, {PAIRS_SQL}"
@@ -150,22 +152,49 @@ def timing_parse(spark, sf_dir):
     return runs.parse_records(_outputs(spark, sf_dir)).select("attempt_id", "error", F.col("timing")["gpu_main_ms"].alias("main_ms"), "iterations")
 
 
-@query(f"SELECT event_id AS attempt_id, event_id % 1000 + 0.5::DOUBLE AS main_loop_ms, 0.25::DOUBLE AS cpu_check_drain_ms, event_id % 1000 + 0.75::DOUBLE AS algorithm_total_ms FROM events WHERE {ERROR_SQL} IS NULL")
-def timing_normalize(spark, sf_dir):
-    return runs.normalize_single(runs.parse_records(_outputs(spark, sf_dir)))
+SINGLE_LACKS = "CASE WHEN event_id % 53 = 0 THEN 'mpi_sync_ms' WHEN event_id % 59 = 0 THEN 'communication_ms' END"
+SINGLE_SQL = {"main_loop": "m", "gpu_compute": "m", "graph_kernel": "m - 0.25", "cpu_check_drain": "0.25", "nccl_exchange": "1.5", "mpi_sync": "2.5", "postcheck_total": "0", "postcheck_mpi": "0", "communication": "4", "algorithm_total": "m + 0.25"}
 
 
-@query("""WITH t AS (SELECT event_id AS attempt_id, 100.0::DOUBLE + event_id % 7 AS main, CASE WHEN event_id % 31 = 0 THEN 200.0 ELSE 90.0 END::DOUBLE AS comp, CASE WHEN event_id % 33 = 0 THEN 95.0 ELSE 80.0 END::DOUBLE AS kern,
-    CASE WHEN event_id % 35 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS off, CASE WHEN event_id % 39 = 0 THEN 50.0 ELSE 500.0 END::DOUBLE AS mx FROM events)
-    SELECT attempt_id, concat_ws(',', CASE WHEN comp > main + 0.0031 THEN 'compute_in_main' END, CASE WHEN kern > comp + 0.0031 THEN 'kernel_in_compute' END, CASE WHEN main + 3 + off > mx THEN 'max_at_least_mean' END, CASE WHEN off > 0 THEN 'mean_total' END) AS violations FROM t""")
+@query(f"SELECT attempt_id, lacks, {', '.join(f'CASE WHEN lacks IS NULL THEN ({sql})::DOUBLE END AS {name}_ms' for name, sql in SINGLE_SQL.items())} FROM (SELECT event_id AS attempt_id, event_id % 1000 + 0.5::DOUBLE AS m, {SINGLE_LACKS} AS lacks FROM events)")
+def timing_normalize(spark, sf_dir):
+    i = F.col("event_id")
+    main = (i % 1000).cast("string")
+    sync = F.when(i % 53 == 0, F.lit("")).otherwise(F.lit(" mpi_sync_ms=2.5"))
+    line = F.concat(F.lit("BENCHMARK_TIMING gpu_main_ms="), main, F.lit(".5 graph_kernel_ms="), main, F.lit(".25 cpu_check_tail_ms=0.25 nccl_exchange_ms=1.5"), sync, F.lit(" communication_ms="), F.when(i % 59 == 0, "-4").otherwise("4"))
+    lines = table(spark, sf_dir, "events").select(i.alias("attempt_id"), F.explode(F.array(line, F.lit("BENCHMARK_ITERATIONS iterations=3"))).alias("line"))
+    found = runs.normalize_single(runs.parse_records(lines))
+    return found.select("attempt_id", "lacks", *[F.col("rank_max_ms")[f"{name}_ms"].alias(f"{name}_ms") for name in runs.METRICS])
+
+
+#: Timings of several ranks: the largest and the mean, as multiples of the run's size; and what each fault adds to one of them, tenfold.
+LARGEST = {"gpu_main": 10, "main_loop": 10, "gpu_compute": 8, "graph_kernel": 7, "cpu_check_tail": 2, "cpu_check_drain": 2, "nccl_exchange": 3, "mpi_sync": 1, "postcheck_total": 2, "postcheck_mpi": 1, "communication": 5}
+MEANS = {"gpu_main": 8, "main_loop": 8, "gpu_compute": 6, "graph_kernel": 5, "cpu_check_tail": 1, "cpu_check_drain": 1, "nccl_exchange": 2, "mpi_sync": 1, "postcheck_total": 2, "postcheck_mpi": 1, "communication": 4, "algorithm_total": 11}
+TIMED = {**{f"{k}_ms": v for k, v in LARGEST.items()}, **{f"rank_{k}_avg_ms": v for k, v in MEANS.items()}, "rank_algorithm_total_max_ms": 14}
+FAULTS = {
+    "gpu_main_ms": (1, "alias_main"), "cpu_check_tail_ms": (1, "alias_drain"), "rank_gpu_main_avg_ms": (1, "alias_mean_main"), "rank_cpu_check_tail_avg_ms": (1, "alias_mean_drain"),
+    "gpu_compute_ms": (9, "max_gpu_compute"), "graph_kernel_ms": (9, "max_graph_kernel"), "postcheck_mpi_ms": (9, "max_postcheck_mpi"), "rank_gpu_compute_avg_ms": (9, "mean_gpu_compute"),
+    "rank_graph_kernel_avg_ms": (9, "mean_graph_kernel"), "rank_postcheck_mpi_avg_ms": (9, "mean_communication,mean_postcheck_mpi"), "rank_algorithm_total_avg_ms": (0.1, "mean_total"),
+    "rank_algorithm_total_max_ms": (-0.4, "max_over_mean"), "rank_communication_avg_ms": (1, "mean_communication"), "rank_postcheck_total_avg_ms": (9, "mean_total"), "main_loop_ms": (-99, None), "mpi_sync_ms": (None, None),
+}
+MULTI_CASES = " ".join(f"WHEN f = {n} THEN '{broken}'" for n, (_, broken) in enumerate(FAULTS.values(), 1) if broken)
+MULTI_METRICS = {f"rank_max_{m}_ms": TIMED["rank_algorithm_total_max_ms" if m == "algorithm_total" else f"{m}_ms"] for m in runs.METRICS} | {f"rank_mean_{m}_ms": TIMED[f"rank_{m}_avg_ms"] for m in runs.METRICS}
+
+
+@query(f"""WITH t AS (SELECT event_id AS attempt_id, event_id % 23 AS f, 1 + event_id % 7 AS s FROM events), c AS (SELECT *, CASE f WHEN 15 THEN 'main_loop_ms' WHEN 16 THEN 'mpi_sync_ms' END AS lacks, CASE {MULTI_CASES} WHEN f NOT IN (15, 16) THEN '' END AS violations FROM t)
+    SELECT attempt_id, lacks, violations, {', '.join(f"CASE WHEN violations = '' THEN ({times} * s)::DOUBLE END AS {name}" for name, times in MULTI_METRICS.items())} FROM c""")
 def timing_invariants(spark, sf_dir):
-    i, c = F.col("event_id"), lambda odd, a, b: F.when(F.col("event_id") % odd == 0, a).otherwise(b)
-    main = F.lit(100.0) + i % 7
-    rows = table(spark, sf_dir, "events").select(
-        i.alias("attempt_id"), main.alias("main_loop_ms"), c(31, 200.0, 90.0).alias("gpu_compute_ms"), c(33, 95.0, 80.0).alias("graph_kernel_ms"), main.alias("mean_main_ms"), F.lit(1.0).alias("mean_drain_ms"), F.lit(2.0).alias("mean_post_ms"),
-        (main + 3 + c(35, 1.0, 0.0)).alias("mean_total_ms"), c(39, 50.0, 500.0).alias("max_total_ms"),
-    )
-    return runs.timing_violations(rows)
+    """Every relation is broken by one of the faults, which come round with the event's number."""
+    i = F.col("event_id")
+    fault = {name: n for n, name in enumerate(FAULTS, 1)}
+    values = []
+    for name, times in TIMED.items():
+        value = (F.lit(times) * (1 + i % 7)).cast("double")
+        more = FAULTS.get(name, (0, None))[0]
+        values += [F.lit(name), value if name not in fault else F.when(i % 23 == fault[name], F.lit(None) if more is None else value * 1.0 + (1 + i % 7) * (10.0 * more)).otherwise(value)]
+    found = runs.normalize_multi(table(spark, sf_dir, "events").select(i.alias("attempt_id"), F.create_map(*values).alias("timing"), F.lit(None).cast("string").alias("error")))
+    names = [(aggregate, name) for aggregate in ("rank_max", "rank_mean") for name in runs.METRICS]
+    return found.select("attempt_id", "lacks", "violations", *[F.col(f"{a}_ms")[f"{m}_ms"].alias(f"{a}_{m}_ms") for a, m in names])
 
 
 @query(f"WITH {ATTEMPTS_SQL} SELECT attempt_id, record_id, status, phase, algorithm, dataset, method, repeat, finished_at::VARCHAR AS finished_at, iterations, rank_max_ms AS rank_max_algorithm_total_ms, round(rank_mean_ms, 6) AS rank_mean_algorithm_total_ms FROM a")
@@ -177,10 +206,53 @@ def attempt_flatten(spark, sf_dir):
     return rounded(runs.flatten_attempts(nested), "rank_mean_algorithm_total_ms")
 
 
-@query(f"""WITH {ATTEMPTS_SQL}, {EXPECTED_SQL} SELECT attempt_id, CASE WHEN x.record_id IS NULL THEN 'record_id is not planned' WHEN a.gpu_mode <> (CASE WHEN x.method IN ('basic', 'tolerance_queue') THEN '1gpu' ELSE 'multigpu' END) THEN 'gpu_mode differs' END AS reason
-    FROM a LEFT JOIN expected x ON x.record_id = a.record_id""")
+def _nested(spark, sf_dir) -> DataFrame:
+    """The attempts as nested records; each kind of fault comes round with the attempt's number."""
+    fault, good = F.col("attempt_id") % 61, F.col("status") == "success"
+    odd = lambda n, wrong, right: F.when(fault == n, wrong).otherwise(right)
+    text = lambda n, column: odd(n, F.lit("odd"), F.col(column))
+    identity = F.struct(text(7, "algorithm").alias("algorithm"), text(8, "dataset").alias("dataset"), text(9, "method").alias("method"), odd(10, F.lit(0), F.col("repeat")).alias("repeat"), F.col("gpu_mode"), odd(11, F.lit(9), F.col("mpi_ranks")).alias("mpi_ranks"))
+    times = lambda n, column: F.when(fault != n, F.create_map(F.lit("algorithm_total_ms"), F.col(column)))
+    timing = F.struct(times(18, "rank_max_ms").alias("rank_max_ms"), times(19, "rank_mean_ms").alias("rank_mean_ms"))
+    guard = F.struct(*[F.struct(odd(n, F.lit("changed"), F.lit("match")).alias("status")).alias(point) for n, point in ((22, "before"), (23, "after"))])
+    return attempts(spark, sf_dir).select(
+        F.col("attempt_id"), odd(1, F.lit("5"), F.lit("6")).alias("schema_version"), odd(2, F.lit("other"), F.lit("benchmark_attempt")).alias("record_type"), odd(3, F.lit(""), F.col("record_id")).alias("record_id"),
+        odd(4, F.lit("odd"), F.concat_ws(".", "algorithm", "dataset")).alias("work_id"), text(5, "phase").alias("phase"), F.when(fault != 6, identity).alias("identity"), text(12, "status").alias("status"),
+        F.when(fault != 13, F.struct(F.when(good & (fault != 14), 0).otherwise(1).alias("process_returncode"), F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss").alias("finished_at_utc"))).alias("process"),
+        F.when(fault != 15, F.struct(odd(16, F.lit(0), F.col("iterations")).alias("iterations"))).alias("emitted"), F.when(F.when(good, fault != 17).otherwise(fault == 20), timing).alias("timing"),
+        F.struct(F.when(fault != 21, guard).alias("execution_input_guard")).alias("provenance"),
+    )
+
+
+def _reason_sql(planned: str) -> str:
+    """The first broken rule; ``planned``: whether the record is planned."""
+    said = {4: "work_id differs", 5: "phase differs", 6: "identity is missing", 7: "identity.algorithm differs", 8: "identity.dataset differs", 9: "identity.method differs", 10: "identity.repeat differs"}
+    cases = ["f = 1 THEN 'schema_version differs'", "f = 2 THEN 'record_type differs'", "f = 3 THEN 'record_id is missing'", f"NOT ({planned}) THEN 'record_id is not planned'", *[f"f = {n} THEN '{text}'" for n, text in said.items()]]
+    cases += ["gpu_mode = 'other' THEN 'gpu_mode differs'", "f = 11 THEN 'mpi_ranks differ'", "f = 12 THEN 'unknown status'", "f IN (13, 15) THEN 'process or emitted is missing'"]
+    good = {14: "return code is not zero", 16: "no iterations", 17: "no timing", 18: "no rank timings", 19: "no rank timings", 21: "no input guard", 22: "input guard before does not match", 23: "input guard after does not match"}
+    cases += [f"status = 'success' AND f = {n} THEN '{text}'" for n, text in good.items()] + ["status <> 'success' AND f = 20 THEN 'failed with timing'"]
+    return "CASE " + " ".join(f"WHEN {c}" for c in cases) + " END"
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, {EXPECTED_SQL} SELECT attempt_id, {_reason_sql('known')} AS reason FROM (SELECT a.*, attempt_id % 61 AS f, x.record_id IS NOT NULL AS known FROM a LEFT JOIN expected x ON x.record_id = a.record_id)""")
 def attempt_validate(spark, sf_dir):
-    return runs.validate_attempts(attempts(spark, sf_dir), _expected(spark))
+    return runs.validate_attempts(_nested(spark, sf_dir), _expected(spark))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """The nested records as files; some are cut short, some hold no object, some nothing."""
+    i = F.col("attempt_id")
+    rows = _nested(spark, sf_dir)
+    whole = F.to_json(F.struct(*rows.drop("attempt_id").columns))
+    value = F.when(i % 103 == 0, F.substr(whole, F.lit(1), F.lit(40))).when(i % 107 == 0, F.concat(F.lit("["), whole, F.lit("]"))).when(i % 109 == 0, F.lit("")).otherwise(whole)
+    return rows.select(F.concat(F.lit("raw/"), i.cast("string"), F.lit(".json")).alias("record_path"), value.alias("value"))
+
+
+@query(f"""WITH {ATTEMPTS_SQL}, {EXPECTED_SQL}, r AS (SELECT *, {_reason_sql('known')} AS reason FROM (SELECT a.*, attempt_id % 61 AS f, x.record_id IS NOT NULL AS known, attempt_id % 103 = 0 OR attempt_id % 107 = 0 OR attempt_id % 109 = 0 AS bad, x.phase AS planned FROM a LEFT JOIN expected x ON x.record_id = a.record_id))
+    SELECT concat('raw/', attempt_id, '.json') AS record_path, CASE WHEN bad OR f = 3 THEN '' ELSE record_id END AS record_id, CASE WHEN bad THEN '' WHEN f = 3 THEN phase ELSE coalesce(planned, CASE WHEN f = 5 THEN 'odd' ELSE phase END) END AS phase,
+    CASE WHEN bad THEN 'not a JSON object' ELSE reason END AS reason FROM r WHERE bad OR reason IS NOT NULL""")
+def invalid_attempts(spark, sf_dir):
+    return runs.invalid_attempts(runs.parse_attempts(_files(spark, sf_dir)), _expected(spark))
 
 
 @query(f"WITH {ATTEMPTS_SQL}, {LATEST_SQL} SELECT record_id, attempt_id, status, attempt_count, note FROM latest")
@@ -188,9 +260,10 @@ def latest_success(spark, sf_dir):
     return _latest(spark, sf_dir).select("record_id", "attempt_id", "status", "attempt_count", "note")
 
 
-@query(f"WITH {ATTEMPTS_SQL}, {EXPECTED_SQL} SELECT record_id FROM expected WHERE record_id NOT IN (SELECT record_id FROM a WHERE attempt_id % 5 <> 0)")
+@query(f"WITH {ATTEMPTS_SQL}, {EXPECTED_SQL} SELECT record_id FROM expected WHERE record_id NOT IN (SELECT record_id FROM a WHERE status = 'success')")
 def missing_identities(spark, sf_dir):
-    return runs.missing_identities(_expected(spark), attempts(spark, sf_dir).where("attempt_id % 5 <> 0")).select("record_id")
+    """Records without a successful attempt."""
+    return runs.missing_identities(_expected(spark), attempts(spark, sf_dir).where("status = 'success'")).select("record_id")
 
 
 @query(f"WITH {ATTEMPTS_SQL}, {EXPECTED_SQL}, g AS (SELECT record_id, bool_or(status = 'success') AS good FROM a GROUP BY 1) SELECT record_id, coalesce(good, false) AS skip FROM expected LEFT JOIN g USING (record_id)")
@@ -234,11 +307,14 @@ def excluded_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).where("pair_status <> 'eligible'").select("pair_id", "exclusion_reason")
 
 
-@query("""SELECT event_id // 4 AS run_id, max(value + event_id % 3 + event_id % 5) AS total_max_ms, round(avg(value + event_id % 3 + event_id % 5), 6) AS total_mean_ms, round(avg(value), 6) AS main_mean_ms FROM events GROUP BY 1""")
+RANK_SQL = {"main_loop": "value", "gpu_compute": "value / 2", "graph_kernel": "value / 4", "cpu_check_drain": "event_id % 3", "nccl_exchange": "event_id % 5", "mpi_sync": "event_id % 7", "postcheck_total": "event_id % 11", "postcheck_mpi": "event_id % 2"}
+RANK_SUMS = RANK_SQL | {"communication": "event_id % 5 + event_id % 7 + event_id % 2", "algorithm_total": "value + event_id % 3 + event_id % 11"}
+
+
+@query(f"SELECT event_id // 4 AS run_id, {', '.join(f'round({f}(({sql})::DOUBLE), 6) AS rank_{name}_{metric}_ms' for metric, sql in RANK_SUMS.items() for name, f in (('max', 'max'), ('mean', 'avg')))} FROM events GROUP BY 1")
 def rank_timing(spark, sf_dir):
-    i = F.col("event_id")
-    ranks = table(spark, sf_dir, "events").select(F.floor(i / 4).alias("run_id"), F.col("value").alias("main_ms"), (i % 3).cast("double").alias("drain_ms"), (i % 5).cast("double").alias("post_ms"))
-    return rounded(runs.rank_timing(ranks), "total_mean_ms", "main_mean_ms")
+    ranks = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("run_id"), *[F.expr(sql).cast("double").alias(f"{name}_ms") for name, sql in RANK_SQL.items()])
+    return _stats_rounded(runs.rank_timing(ranks))
 
 
 @query("SELECT run_id, round(CASE WHEN b > 0 THEN (m / b - 1) * 100 END, 6) AS imbalance_pct FROM (SELECT event_id // 4 AS run_id, max(value) AS m, avg(value) AS b FROM events GROUP BY 1)")
@@ -283,20 +359,27 @@ def plot_stats(spark, sf_dir):
     return _stats_rounded(_pairs(spark, sf_dir).groupBy("algorithm", "gpu_mode").agg(*stats(F.col("total_overhead_pct"), "overhead_pct")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ATTEMPTS_SQL}, {LATEST_SQL}, med AS (SELECT algorithm, dataset, method, quantile_cont(rank_max_ms, 0.5) AS med FROM latest WHERE phase = 'measure' AND status = 'success' GROUP BY 1, 2, 3),
+    sc AS (SELECT algorithm, dataset, arg_min(med, list_position(['basic', 'multigpu_basic', 'tolerance_queue', 'multigpu'], method)) FILTER (med > 0) AS scale FROM med GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY scale NULLS LAST, dataset) AS rn FROM sc),
+    f AS (SELECT algorithm, dataset, rn, scale AS low, 1 AS size, 0 AS no FROM o WHERE rn = 1 UNION ALL
+        SELECT algorithm, dataset, rn, CASE WHEN ends THEN scale ELSE coalesce(low, scale) END, CASE WHEN ends THEN 1 ELSE size + 1 END, no + CASE WHEN ends THEN 1 ELSE 0 END
+        FROM (SELECT o.*, f.low, f.size, f.no, f.size >= 8 OR coalesce(o.scale > f.low * 8, false) AS ends FROM f JOIN o ON o.algorithm = f.algorithm AND o.rn = f.rn + 1))
+    SELECT algorithm, dataset, no AS group_no FROM f""")
 def scale_groups(spark, sf_dir):
-    scales = _latest(spark, sf_dir).where("phase = 'measure' and method = 'basic'").groupBy("algorithm", "dataset").agg(F.percentile("rank_max_ms", F.lit(0.5)).alias("scale"))
-    return runs.scale_groups(scales)
+    return runs.scale_groups(runs.runtime_scales(runs.method_summary(_latest(spark, sf_dir))))
 
 
-@query("""WITH m AS (SELECT 'c' || c_custkey AS dataset, CASE WHEN c_custkey % 12 = 0 THEN 0 ELSE 100 END AS nodes, CASE WHEN c_custkey % 15 = 0 THEN 100 ELSE c_custkey % 100 END AS s FROM customer WHERE c_custkey % 10 <> 0),
-    k AS (SELECT dataset, count(*) AS n, max(nodes) AS nodes, max(s) AS s FROM (SELECT * FROM m UNION ALL SELECT * FROM m WHERE dataset LIKE '%7') GROUP BY 1)
-    SELECT d.dataset, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN nodes <= 0 THEN 'no nodes' WHEN NOT s BETWEEN 0 AND nodes - 1 THEN 'source out of range' END AS error FROM (SELECT 'c' || c_custkey AS dataset FROM customer) d LEFT JOIN k USING (dataset)""")
+@query("""WITH m AS (SELECT c_custkey AS k, 'c' || c_custkey AS dataset, CASE WHEN c_custkey % 12 = 0 THEN '0' WHEN c_custkey % 25 = 0 THEN 'x' ELSE '100' END AS nodes, CASE WHEN c_custkey % 14 = 0 THEN '' ELSE '7' END AS edges, CASE WHEN c_custkey % 15 = 0 THEN 100 ELSE c_custkey % 100 END AS s FROM customer),
+    t AS (SELECT *, TRY_CAST(nodes AS BIGINT) AS nn, TRY_CAST(edges AS BIGINT) AS ne, k % 10 <> 0 AS known FROM m)
+    SELECT dataset, nullif(concat_ws(';', CASE WHEN k % 21 = 0 THEN 'missing graph' END, CASE WHEN NOT known THEN 'missing metadata' END, CASE WHEN known AND k % 10 = 7 THEN 'duplicate metadata' END, CASE WHEN known AND nn IS NULL THEN 'invalid nodes' END,
+        CASE WHEN known AND ne IS NULL THEN 'invalid edges' END, CASE WHEN known AND (nn <= 0 OR ne <= 0) THEN 'nodes or edges not positive' END, CASE WHEN known AND NOT s BETWEEN 0 AND nn - 1 THEN 'source out of range' END), '') AS errors FROM t""")
 def metadata_validate(spark, sf_dir):
     key = F.col("c_custkey")
     names = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), key.cast("string")).alias("dataset"))
-    known = names.where(key % 10 != 0).select("dataset", F.when(key % 12 == 0, 0).otherwise(100).alias("nodes"), F.when(key % 15 == 0, 100).otherwise(key % 100).alias("bfs_source"))
-    return runs.validate_metadata(known.unionByName(known.where(F.endswith("dataset", F.lit("7")))), names.select("dataset"))
+    source = F.when(key % 15 == 0, F.lit(100)).otherwise(key % 100).cast("string")
+    known = names.where(key % 10 != 0).select("dataset", F.when(key % 12 == 0, "0").when(key % 25 == 0, "x").otherwise("100").alias("nodes"), F.when(key % 14 == 0, "").otherwise(" 7").alias("edges"), source.alias("bfs_source"))
+    return runs.validate_inputs(names.select("dataset"), names.where(key % 21 != 0).select("dataset"), known.unionByName(known.where(F.endswith("dataset", F.lit("7")))))
 
 
 @query(f"WITH {ATTEMPTS_SQL}, {EXPECTED_SQL} SELECT DISTINCT record_id FROM a WHERE record_id NOT IN (SELECT record_id FROM expected)")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.runs import joined_url
 from ..plans import Graph, scratch
 
 
@@ -114,12 +115,30 @@ def offsets(graph: Graph, by: str = "src") -> DataFrame:
     return both.select("id", (F.col("base") + F.col("inside") - F.col("d")).alias("start_at"), (F.col("base") + F.col("inside")).alias("end_at"))
 
 
-def mtx_lines(graph: Graph) -> DataFrame:
-    """(pos, value): the graph as MatrixMarket text; position 0 and 1 are banner and size line, edges come after."""
+def mtx_lines(graph: Graph, first_id: int = 0) -> DataFrame:
+    """(pos, value): the graph as MatrixMarket text; position 0 and 1 are banner and size line, edges come after.
+
+    ``first_id``: 1 writes ids from 1, as other readers expect.
+    """
     spark = graph.vertices.sparkSession
     n, m = graph.vertices.count(), graph.edges.count()
     head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate pattern general"), (1, f"{n} {n} {m}")], "pos long, value string")
-    return head.unionByName(graph.edges.select(F.lit(2).cast("long").alias("pos"), F.concat_ws(" ", "src", "dst").alias("value")))
+    return head.unionByName(graph.edges.select(F.lit(2).cast("long").alias("pos"), F.concat_ws(" ", F.col("src") + first_id, F.col("dst") + first_id).alias("value")))
+
+
+def weighted_mtx_lines(lines: DataFrame) -> DataFrame:
+    """(pos, value): an edge list's lines (pos, value) as MatrixMarket text, ids as they are and a missing weight 1.
+
+    Lines that do not begin with two integers are left out; the size line counts ids up to the largest.
+    """
+    text = F.trim(F.translate("value", "\t", " "))
+    parts = F.split(text, r"\s+")
+    rows = lines.where((text != "") & ~text.rlike("^[#%/]")).select(F.get(parts, 0).try_cast("long").alias("src"), F.get(parts, 1).try_cast("long").alias("dst"), F.coalesce(F.get(parts, 2), F.lit("1")).alias("weight"))
+    rows = rows.where("src is not null and dst is not null")
+    n = F.coalesce(F.max(F.greatest("src", "dst")), F.lit(0))
+    head = rows.agg(F.concat_ws(" ", n, n, F.count("*")).alias("value")).select(F.lit(1).cast("long").alias("pos"), "value")
+    banner = lines.sparkSession.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general")], "pos long, value string")
+    return banner.unionByName(head).unionByName(rows.select(F.lit(2).cast("long").alias("pos"), F.concat_ws(" ", "src", "dst", "weight").alias("value")))
 
 
 def write_values(values: DataFrame, path: str, decimals: int | None = None) -> None:
@@ -128,7 +147,15 @@ def write_values(values: DataFrame, path: str, decimals: int | None = None) -> N
     values.orderBy("id").select(value.alias("value")).write.mode("overwrite").text(path)
 
 
-def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, href, n): targets of the links of each page."""
-    found = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r'href="([^"]*)"'), F.lit(1)))
-    return pages.select(id_col, found.alias("href")).groupBy(id_col, "href").agg(F.count("*").alias("n"))
+#: An anchor's start tag with the value of its href, in either quotes or none.
+ANCHOR = r"""(?i)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, page_url, url, place, n): what the anchors of each page link to, as whole URLs, where first and how often."""
+    html = F.col(html_col).cast("string")
+    found = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)).alias(f"h{i}") for i in (1, 2, 3)])
+    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("page_url"), F.posexplode(found).alias("place", "h"))
+    href = F.trim(F.concat("h.h1", "h.h2", "h.h3"))
+    links = rows.where(href != "").select("__id", "page_url", joined_url(F.col("page_url"), href).alias("url"), "place")
+    return links.groupBy("__id", "page_url", "url").agg(F.min("place").alias("place"), F.count("*").alias("n")).withColumnRenamed("__id", id_col)
