@@ -370,11 +370,23 @@ def _place(start: int, end: int, to_text: list | None) -> tuple[int, int]:
 
 
 def _through(pieces: list, to_text: list | None) -> list:
-    """``pieces`` of a layer over its parent, carried on to the text: (start, end, start, end, whole)."""
+    """``pieces`` of a layer over its parent, carried on to the text: (start, end, start, end, whole).
+
+    A piece that the layer took over as it was is cut where the parent's pieces are, so that what was plain stays exact.
+    """
     out = []
     for a, b, x, y in pieces:
-        low, high = _place(x, y, to_text)
-        out.append((a, b, low, high, not (b - a == y - x == high - low)))
+        if b - a != y - x:
+            out.append((a, b, *_place(x, y, to_text), True))
+        elif to_text is None:
+            out.append((a, b, x, y, False))
+        else:
+            for i in range(bisect_right(to_text, x, key=lambda piece: piece[1]), len(to_text)):
+                c, d, low, high, whole = to_text[i]
+                if c >= y:
+                    break
+                start, end = max(x, c), min(y, d)
+                out.append((a + start - x, a + end - x, *((low, high) if whole else (low + start - c, low + end - c)), whole))
     return out
 
 

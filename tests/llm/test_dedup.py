@@ -152,3 +152,56 @@ def test_components(spark):
     got = {x["node"]: x["label"] for x in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 50, 50: 50, 75: 50}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def plain_components(texts):
+    prints = [simhash_dedup.fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 3:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_near_copies_go_whatever_is_sent(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_dedup, "BROADCAST_ROWS", most)
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(12)]
+    texts += [t + " more" for t in texts[:4]] + texts[:3] + ["", None, "one"]
+    rows = [(i, t, "a", "b", i) for i, t in enumerate(texts)] + [(2, texts[2], "a", "b", 99), (2, texts[2], "a", "b", 100), (None, "alone without an id " * 5, "a", "b", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, none string, `key` string, `row` long")
+    got = simhash_dedup.drop_near_copies(table)
+    assert got.columns == table.columns
+    kept = [x["doc_id"] for x in got.collect()]
+    group = plain_components([t or "" for t in texts])
+    assert Counter(kept) == Counter([*{g for g in group}, None])
+    assert simhash_dedup.drop_near_copies(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_exact_copies_whatever_is_sent(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
+    head = "x" * 300
+    texts = ["a", "b", "a", head + "1", head + "2", head + "1", None, "", "é", "zz", "longer than others", "same", "same", "same"]
+    rows = [(i, t, "l", "s", "f") for i, t in enumerate(texts)] + [(3, head + "1", "l", "s", "f")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __len string, __hit string, __full string")
+    last = {}
+    for i, t, *_ in rows:
+        last[t or ""] = max(i, last.get(t or "", -1))
+    n = Counter(t or "" for _, t, *_ in rows)
+    got = exact_dedup.exact_groups(table, digest=True).collect()
+    import hashlib
+
+    assert Counter((x["doc_id"], x["keep_id"], x["group_size"], x["text_sha256"]) for x in got) == Counter((i, last[t or ""], n[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
+    assert Counter(x["doc_id"] for x in got if x["kept"]) == Counter(last.values())
+    out = exact_dedup.drop_copies(table)
+    assert out.columns == table.columns and Counter(x["doc_id"] for x in out.collect()) == Counter(last.values())
+
+
+def test_lines_are_marked_by_a_shuffle_too(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SENT_DOCS", 0)
+    test_line_dedup(spark)

@@ -66,3 +66,22 @@ def test_contract_columns(spark):
         for column in columns.split(", "):
             key, kind = column.split(" ")
             assert got[key] == kind, (name, key)
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, length long, __row string, kept string, piece string"
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Empty tables, very long texts, nulls in every column and columns that clash go through every stage."""
+    long = " ".join(f"term{i} of{i * 7} a{i * 13}" for i in range(60_000))
+    rows = [(1, long, "en", "s", len(long), 1, "r", "k", "p"), (2, None, None, None, None, None, None, None, None), (None, CLEAN.format(77), None, None, None, None, None, None, None), (3, CLEAN.format(3), "en", "s", 1, 1, "r", "k", "p")]
+    for name, data in (("some", rows), ("none", [])):
+        table = spark.createDataFrame(data, EXTRA)
+        table.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"file://{tmp_path}/{name}")
+            assert docs.columns == table.columns
+        want = {1, None, 3} if data else set()
+        assert {r["doc_id"] for r in docs.collect()} == want
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()} == want

@@ -299,3 +299,171 @@ def test_repeated_prose_of_articles_stays(spark):
 
 def test_character_references():
     assert html_extract.extract_text("<p>" + html.escape(json.dumps({"a": "<b>"})) + "&eacute;&#233;&nbsp;x</p>") == '{"a": "<b>"}éé x'
+
+
+# --- against plain versions
+
+
+def plain_labels(text):
+    """Labels and score by comparing every place of a text with every place of every template."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+    labels, score = set(), 0.0
+    for _, label, is_base, template, k in license_scan.templates():
+        need = len(template) - k + 1
+        hits = {}
+        for p in range(len(words) - k + 1):
+            for t in range(need):
+                if words[p : p + k] == template[t : t + k]:
+                    hits.setdefault(p - t, set()).add(t)
+        groups, last = [], None
+        for d in sorted(hits):
+            if last is None or is_base or d - last > license_scan.NEIGHBOURS:
+                groups.append(set())
+            groups[-1] |= hits[d]
+            last = d
+        least = 1.0 if is_base or need <= license_scan.FEW_GRAMS else license_scan.LEAST_SHARE
+        for group in groups:
+            if len(group) / need >= least:
+                labels.add(label)
+                score = max(score, len(group) / need)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_labels_equal_the_plain_version(spark):
+    r = random.Random(8)
+    notices = [t.split() for texts in license_scan.NOTICES.values() for t in texts]
+    rows = [(0, "licensed under cc by licensed under cc by 4"), (1, "Licensed under CC BY 4.0"), (1, "Licensed under CC BY 4.0"), (2, "the software " * 40)]
+    for i in range(3, 60):
+        words = []
+        for _ in range(r.randrange(4)):
+            part = list(r.choice(notices))
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(part))
+                part[at : at + r.randrange(3)] = r.choice([[], ["extra"], part[at : at + 3] * 2])
+                part = part or ["x"]
+            words += part + ["and"] * r.randrange(3)
+        rows.append((i, " ".join(words)))
+    got = Counter((x["doc_id"], x["labels"], round(x["score"], 9)) for x in license_scan.scan_licenses(docs(spark, rows)).collect())
+    assert got == Counter((i, *plain_labels(t)) for i, t in rows)
+    assert plain_labels(rows[0][1])[0] == "cc-by"
+
+
+def plain_kinds(text, seen=()):
+    """Kinds of secrets in a text and in all that it decodes to, one way after the other, without a worklist."""
+    if text in seen or len(seen) > 12:
+        return set()
+    seen = (*seen, text)
+    kinds = {kind for _, _, kind in secret_scan._scan(text)}
+    opened = re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), text)
+    opened = re.sub(r"(?:\\u[0-9A-Fa-f]{4})+", lambda m: bytes.fromhex(m[0].replace("\\u", "")).decode("utf-16-be", "replace"), opened)
+    opened = re.sub(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|equals|colon);", lambda m: html.unescape(m[0]), opened)
+    if opened != text:
+        kinds |= plain_kinds(opened, seen)
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        bare = m[0].rstrip("=")
+        bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+        raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
+        for unpack in (lambda b: b, gzip.decompress, zlib.decompress):
+            try:
+                kinds |= plain_kinds(unpack(raw).decode(), seen)
+            except (ValueError, OSError, zlib.error, EOFError):
+                pass
+    return kinds
+
+
+def test_layers_equal_the_plain_version():
+    r = random.Random(12)
+    secrets = {"assign": "password=hunter2secret", "access": "AKIA" + "Q7" * 10, "hex": "0a1b2c3d" * 4, "forge": "ghp_" + "Ab1" * 12}
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    ways = [
+        lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"%{b:02x}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t),
+        lambda t: b64(t.encode()), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())),
+    ]
+    for _ in range(150):
+        kind = r.choice(list(secrets))
+        code = f"say {secrets[kind]} now"
+        for _ in range(r.randrange(1, 4)):
+            code = r.choice(ways)(code)
+        text = f"before {code} after"
+        found = secret_scan.find_secrets(text)
+        assert kind in {k for _, _, k in found} and {k for _, _, k in found} >= plain_kinds(text)
+        assert all(7 <= a < b <= 7 + len(code) for a, b, _ in found), text
+        assert secret_scan.redact(text).startswith("before ") and secret_scan.redact(text).endswith(" after")
+        assert kind not in plain_kinds(secret_scan.redact(text))
+    quiet = " ".join("".join(r.choice("aeioulmnrst") for _ in range(r.randrange(1, 24))) for _ in range(2000))
+    assert secret_scan.find_secrets(quiet) == []
+
+
+def test_bad_bytes_do_not_hide_escapes():
+    assert spans("%ff%73%65%63%72%65%74=abcdef12") == [("%73%65%63%72%65%74=abcdef12", "assign")]
+    assert spans("x %80%ff%3Dpassword%3dhunter2x%fe y")[0][1] == "assign"
+    assert [kind for _, kind in spans("\\ud800\\u0074oken = abcdef123")] == ["assign"]
+
+
+def test_urls_with_a_path_alone_are_judged(spark):
+    rows = [(1, "file:///x/casino"), (2, "x://"), (3, "no scheme"), (4, None)] + [(10 + i, "http://example.com/de/casino-jackpot") for i in range(30)]
+    got = {x["page_id"]: x for x in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1]["host"] == "" and got[1]["path"] == "/x/casino" and got[1]["score"] is not None
+    assert all(got[i]["score"] is None and got[i]["verdict"] == "allow" for i in (2, 3, 4))
+    assert url_filter.filter_urls(spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")).first()["verdict"] in ("allow", "block")
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p title='x>y'>z</p>", "z"), ("<p title=it's>z</p><p>a='b</p>", "z\na='b"), ("<a href=\"x>y\" title='\">'>z</a>", "z"), ("<p title='open>z</p>", "z"),
+        ("<article><p class='related-work'>a</p><section id='search-methods'><p>b</p></section><div class='comment-list'><p>c</p></div><div id=comments>d</div><div class=ad>e</div><ul class='share buttons'><li>f</ul></article>", "a\nb"),
+        ("<article><h2 id=related>R</h2><p id=search>s</p><div role=navigation>n</div></article>", "R\ns"),
+    ],
+)
+def test_parts_of_articles_stay(page, text):
+    assert html_extract.extract_text(page) == text
+
+
+def test_articles_under_several_urls_stay(spark):
+    article = "<article><div class='body'><p>Told once, found under many names.</p><ol><li>one</li><li>two</li></ol></div></article>"
+    rows = [(i, f"http://a.com/{i}", f"<body><div>page {i}</div>{article}</body>") for i in range(12)] + [(i, "http://b.com/", f"{article}") for i in range(20, 26)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"Told once, found under many names.\none\ntwo"} and len(got) == 18
+
+
+def test_pages_equal_what_they_were_made_from(spark):
+    """Random pages of several hosts, whose text is known from how they are made; some are there more than once."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 7)))
+    line = lambda: " ".join(word() for _ in range(r.randrange(1, 9)))
+    rows, want = [], Counter()
+    for h in range(4):
+        menu = "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(4)) + "</ul>"
+        notice = f"<div><span>{line()}</span><em title='a>b'>{line()}</em></div>"
+        shared = f"<p>{line()}</p>"  # the same words in many articles
+        for i in range(r.choice([3, 30])):
+            blocks, lines = [], []
+            for _ in range(r.randrange(1, 6)):
+                text = line()
+                tag = r.choice(["p", "h2", "blockquote", "li", "section"])
+                body = html.escape(text).replace(" ", r.choice([" ", "  ", "\n", "&#32;"]))
+                blocks.append(f"<{tag} class='{r.choice(['x', 'related-work', 'intro'])}'>{r.choice(['', '<b>'])}{body}</{tag}>")
+                lines.append(text)
+            if r.random() < 0.5:
+                blocks.append(shared)
+                lines.append(shared[3:-4])
+            if r.random() < 0.5:
+                blocks.insert(r.randrange(len(blocks)), "<div class='ad'>buy</div><script>var a='<p>';</script><!-- <p>no</p> -->")
+            page = f"<html><body><nav>{menu}</nav><div class='cookie-note cookie'>yes</div>{notice}<article>{''.join(blocks)}</article>{menu}<footer>{line()}</footer></body></html>"
+            for _ in range(r.choice([1, 1, 1, 6])):
+                rows.append((len(rows), f"http://h{h}.example/{i}", page))
+                want[(rows[-1][0], "\n".join(lines))] += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert Counter((x["page_id"], x["text"]) for x in html_extract.extract_pages(pages).collect()) == want
+
+
+def test_large_templates_are_dealt_to_their_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    test_site_templates_go(spark)
+
+
+def test_secret_tables_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "token=abcdef1", "b", "s", "t"), (2, None, None, None, None)], "doc_id long, text string, base string, spans string, __text string")
+    assert {(r["doc_id"], r["n_assign"], r["base"]) for r in secret_scan.scan_secrets(rows).collect()} == {(1, 1, "assign:0:13"), (2, 0, "")}
+    assert {(r["doc_id"], r["text"], r["base"], r["__text"]) for r in secret_scan.redact_secrets(rows).collect()} == {(1, "[SECRET]", "b", "t"), (2, None, None, None)}

@@ -3,13 +3,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from graphloom.llm import packing, piece_codec
+from graphloom.llm import common, packing, piece_codec
 from graphloom.llm.word_tokens import WordTokenizer
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -137,3 +138,16 @@ def test_codec_tables(spark, codec):
     digests = {x["doc_id"]: x for x in piece_codec.encode_digests(docs(spark, rows), PIECES).collect()}
     assert digests[2]["n_pieces"] == 0 and digests[1]["ids_crc32"] == zlib.crc32(codec.nbest("hello world", 1)[0][1])
     assert piece_codec.encode_digests(docs(spark, []), PIECES).count() == 0
+
+
+def test_places_by_a_shuffle_too(spark, plain, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    test_packing(spark, plain)
+
+
+def test_slices_are_bounded_and_whole():
+    texts = pa.array(["a" * n for n in (3, 3, 50, 0, 1, 9, 2)] + [None, "x"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), texts], ["i", "t"])
+    parts = list(common.byte_slices(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), 1, 10))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [*range(9), 2, 3, 4]
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 10 for p in parts)
