@@ -8,7 +8,7 @@ redundant recomputation inside the rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +21,8 @@ ALPHA, TOLERANCE = 0.85, 1e-3
 #: Active vertices that are sent to the edges at most, and the part of all vertices up to which it pays to select.
 MOST_SENT, FEW = 500_000, 0.1
 
-COUNT = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def bfs(graph: Graph, source: int, max_rounds: int = MAX_ROUNDS, unreachable: int | None = UNREACHABLE) -> tuple[DataFrame, list[dict]]:
@@ -34,7 +35,7 @@ def bfs(graph: Graph, source: int, max_rounds: int = MAX_ROUNDS, unreachable: in
         for round_no in range(1, max_rounds + 1):
             near = edges.of(frontier.select(F.col("id").alias("src"))).select(F.col("dst").alias("id")).distinct()
             fresh = near.join(reached.rows().select("id"), "id", "left_anti").withColumn("distance", F.lit(round_no))
-            frontier, found = scratch(fresh, "bfs", new=COUNT)
+            frontier, found = scratch(fresh, "bfs", new=_rows())
             history.append({"iter": round_no, "new": found["new"]})
             if not found["new"]:
                 break
@@ -48,14 +49,14 @@ def bfs(graph: Graph, source: int, max_rounds: int = MAX_ROUNDS, unreachable: in
 def max_labels(graph: Graph, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[dict]]:
     """((id, label), history): the largest vertex from which ``id`` is reached along directed edges, itself included."""
     labels, history = Layers("labels", lambda: [F.max("label").alias("label")]), []
-    moved, found = scratch(graph.vertices.select("id", F.col("id").alias("label")), "labels", n=COUNT)
+    moved, found = scratch(graph.vertices.select("id", F.col("id").alias("label")), "labels", n=_rows())
     labels.add(moved, found["n"])
     with Adjacency(graph.edges.where("src <> dst")) as edges:
         for round_no in range(1, max_rounds + 1):
             heard = edges.of(moved.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("new"))
             old = labels.rows().join(heard, "id").groupBy("id").agg(F.max("label").alias("old"), F.max("new").alias("label"))
             rises = old.where("label > old").withColumn("delta", F.col("label") - F.col("old"))
-            risen, found = scratch(rises, "labels", count_update=COUNT, sum_abs_delta=F.coalesce(F.sum("delta"), F.lit(0)))
+            risen, found = scratch(rises, "labels", count_update=_rows(), sum_abs_delta=F.coalesce(F.sum("delta"), F.lit(0)))
             moved = risen.select("id", "label")
             history.append({"iter": round_no, **found})
             if not found["count_update"]:
@@ -73,13 +74,13 @@ def kcore(graph: Graph, k: int, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame
     the support that living vertices lose, its ``death_delta`` that of the vertices which die of it.
     """
     supports, history = Layers("kcore", lambda: [F.min("support").alias("support")]), []
-    metrics = {"rows": COUNT, "count_update": F.count_if(F.col("support") < k), "sum_abs_delta": F.coalesce(F.sum("delta"), F.lit(0)), "death_delta": F.coalesce(F.sum(F.when(F.col("support") < k, F.col("delta"))), F.lit(0))}
+    metrics = {"rows": _rows(), "count_update": F.count_if(F.col("support") < k), "sum_abs_delta": F.coalesce(F.sum("delta"), F.lit(0)), "death_delta": F.coalesce(F.sum(F.when(F.col("support") < k, F.col("delta"))), F.lit(0))}
     start = graph.degrees().select("id", F.col("indegree").alias("support"), F.lit(0).cast("long").alias("delta"))
     with Adjacency(graph.edges) as edges:
         for round_no in range(1, max_rounds + 1):
             if round_no > 1:
                 dead = last.where(F.col("support") < k).select(F.col("id").alias("src"))
-                lost = edges.of(dead).groupBy(F.col("dst").alias("id")).agg(COUNT.alias("delta"))
+                lost = edges.of(dead).groupBy(F.col("dst").alias("id")).agg(_rows().alias("delta"))
                 alive = supports.rows().join(lost, "id").groupBy("id").agg(F.min("support").alias("support"), F.max("delta").alias("delta")).where(F.col("support") >= k)
                 start = alive.withColumn("support", F.col("support") - F.col("delta"))
             last, found = scratch(start, "kcore", **metrics)
@@ -95,8 +96,8 @@ def kcore(graph: Graph, k: int, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame
 
 def out_shares(graph: Graph) -> DataFrame:
     """(src, dst, share): parallel edges as one, with the part of its source's rank that it carries."""
-    outdegrees = graph.edges.groupBy("src").agg(COUNT.alias("outdegree"))
-    return graph.edges.groupBy("src", "dst").agg(COUNT.alias("times")).join(outdegrees, "src").select("src", "dst", (F.col("times") / F.col("outdegree")).alias("share"))
+    outdegrees = graph.edges.groupBy("src").agg(_rows().alias("outdegree"))
+    return graph.edges.groupBy("src", "dst").agg(_rows().alias("times")).join(outdegrees, "src").select("src", "dst", (F.col("times") / F.col("outdegree")).alias("share"))
 
 
 def pagerank(graph: Graph, alpha: float = ALPHA, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[dict]]:
@@ -108,14 +109,14 @@ def pagerank(graph: Graph, alpha: float = ALPHA, tolerance: float = TOLERANCE, m
     n = graph.vertices.count()
     ranks, history = Layers("pagerank", lambda: [F.max_by("rank", "at").alias("rank"), F.max("at").alias("at")]), []
     ranks.add(scratch(graph.vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(0).alias("at")), "pagerank")[0], n)
-    metrics = {"active": COUNT, "changed": F.count_if("changed"), "count_update": F.count_if(F.col("delta") != 0), "sum_abs_delta": F.coalesce(F.sum("delta"), F.lit(0.0))}
+    metrics = {"active": _rows(), "changed": F.count_if("changed"), "count_update": F.count_if(F.col("delta") != 0), "sum_abs_delta": F.coalesce(F.sum("delta"), F.lit(0.0))}
     active: DataFrame | None = graph.vertices
     with Adjacency(out_shares(graph)) as edges:
         for round_no in range(1, max_rounds + 1):
             now = ranks.settled()
             sent = now.select(F.col("id").alias("src"), "rank")
             if round_no > 1 and found["changed"] <= FEW * n:  # which vertices are active is worth a job of its own
-                active, few = scratch(edges.of(last.where("changed").select(F.col("id").alias("src"))).select(F.col("dst").alias("id")).distinct(), "active", n=COUNT)
+                active, few = scratch(edges.of(last.where("changed").select(F.col("id").alias("src"))).select(F.col("dst").alias("id")).distinct(), "active", n=_rows())
                 if few["n"] <= MOST_SENT:
                     active = F.broadcast(active)
                 pulled = edges.of(sent).join(active.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -1,3 +1,4 @@
+import json
 import statistics as st
 import subprocess
 import sys
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import runs as fn
 from graphloom.operators import runs
-from graphloom.sources import edge_files
+from graphloom.sources import edge_files, run_files
 
 
 def lines(spark, text):
@@ -64,7 +65,7 @@ def test_duration(spark, seconds, text):
 
 def test_pairs(spark):
     items = runs.work_items(spark, ["bfs"], ["d"], 3, 0)
-    base = {"algorithm": "bfs", "dataset": "d", "phase": "measure", "gpu_mode": "1gpu", "status": "success", "iterations": 5, "rank_mean_ms": 8.0, "hostname": "h", "devices": "", "mpi_ranks": 1}
+    base = {"algorithm": "bfs", "dataset": "d", "phase": "measure", "gpu_mode": "1gpu", "status": "success", "iterations": 5, "rank_mean_ms": 8.0, "hostname": "h", "mpi_ranks": 1} | {name: "" for name in runs.ENVIRONMENT if name not in ("hostname", "mpi_ranks")}
     rows = [
         base | {"repeat": 1, "method": "basic", "rank_max_ms": 10.0}, base | {"repeat": 1, "method": "tolerance_queue", "rank_max_ms": 12.0, "hostname": " h"},
         base | {"repeat": 2, "method": "basic", "rank_max_ms": 10.0}, base | {"repeat": 2, "method": "tolerance_queue", "rank_max_ms": 12.0, "iterations": 6},
@@ -89,3 +90,74 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['graphloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'bfs_levels' in q and not any(x.startswith('op') for x in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_scale_groups_skip_what_has_no_scale(spark):
+    summary = spark.createDataFrame([("a", "d", "multigpu", 3.0), ("a", "d", "basic", 0.0), ("a", "d", "multigpu_basic", 2.0), ("a", "e", "basic", None)], "algorithm string, dataset string, method string, total_ms_median double")
+    assert {(r["dataset"], r["scale"]) for r in runs.runtime_scales(summary).collect()} == {("d", 2.0), ("e", None)}
+
+
+def test_attempt_files(spark, tmp_path):
+    items = runs.work_items(spark, ["bfs"], ["d"], 1, 0)
+    expected = runs.expected_identities(items, 1, 0)
+    good = {
+        "schema_version": "6", "record_type": "benchmark_attempt", "attempt_id": "1", "record_id": "bfs.d.measure.r001.basic", "work_id": "bfs.d", "phase": "measure", "status": "success",
+        "identity": {"algorithm": "bfs", "dataset": "d", "method": "basic", "repeat": 1, "gpu_mode": "1gpu", "mpi_ranks": 1}, "process": {"process_returncode": 0}, "emitted": {"iterations": 3},
+        "timing": {"rank_max_ms": {"main_loop_ms": 1.0}, "rank_mean_ms": {"main_loop_ms": 1.0}}, "provenance": {"execution_input_guard": {"before": {"status": "match"}, "after": {"status": "match"}}},
+    }
+    (tmp_path / "deep").mkdir()
+    for name, text in (("good", json.dumps(good, indent=1)), ("deep/late", json.dumps(good | {"phase": "warmup"})), ("broken", json.dumps(good)[:50]), ("list", "[1]"), ("empty", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    valid, invalid = run_files.collect_attempts(spark, str(tmp_path), expected)
+    assert [r["record_id"] for r in valid.collect()] == ["bfs.d.measure.r001.basic"]
+    assert {(r["record_path"].rsplit("/", 1)[1], r["phase"], r["reason"]) for r in invalid.collect()} == {("late.json", "measure", "phase differs"), ("broken.json", "", "not a JSON object"), ("list.json", "", "not a JSON object")} | (
+        {("empty.json", "", "not a JSON object")} if run_files.scan_attempts(spark, str(tmp_path)).count() == 5 else set()
+    )
+
+
+def test_metadata_and_fingerprints(spark, tmp_path):
+    import hashlib
+
+    head = "dataset,nodes,edges,file_size_bytes,bfs_source\n"
+    path = tmp_path / "m.csv"
+    path.write_text(head + " a ,1,2,3,0\nb,1,2,3,0\n")
+    assert {r["dataset"] for r in run_files.read_metadata(spark, str(path)).collect()} == {"a", "b"}
+    for text in ("dataset,nodes\na,1\n", head + "a,1,2,3,0\na ,1,2,3,0\n", head + " ,1,2,3,0\n"):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            run_files.read_metadata(spark, str(path))
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "x.mtx").write_text("1 1 0")
+    (tmp_path / "g" / "y.txt").write_text("long enough")
+    got = {r["path"].rsplit("/", 1)[1]: (r["size_bytes"], r["digest"]) for r in run_files.fingerprints(spark, str(tmp_path / "g")).collect()}
+    assert got == {"x.mtx": (5, hashlib.sha256(b"1 1 0").hexdigest()), "y.txt": (11, hashlib.sha256(b"long enough").hexdigest())}
+    assert [r["dataset"] for r in run_files.discover_datasets(spark, str(tmp_path / "g")).collect()] == ["x"]
+    assert run_files.best_candidate(run_files.list_files(spark, str(tmp_path / "g"))).first()["kind"] == "mtx"
+    run_files.write_table(spark.range(3), str(tmp_path / "t"), "\t")
+    assert spark.read.csv(str(tmp_path / "t"), header=True, sep="\t").count() == 3
+    assert run_files.markdown_rows(spark.createDataFrame([("a|b", None)], "x string, y string")).first()[0] == "| a\\|b |  |"
+    assert run_files.environment(spark).first()["spark"] == spark.version
+
+
+def test_config():
+    good = {"datasets": ["d"], "algorithms": ["bfs"], "methods": ["basic", "tolerance_queue"], "repeat": 1, "warmup": 0, "timeout_s": 1, "mpi_ranks": 2, "parameters": {"k": 5, "alpha": 0.5, "beta": 0.5, "threshold": 0.3}, "launcher": {"command": "mpirun", "ranks_flag": "-np"}}
+    assert run_files.check_config(good) == []
+    assert run_files.check_config(good | {"methods": ["basic"]}) == ["methods: basic and tolerance_queue go together"]
+    assert len(run_files.check_config({})) == 13
+
+
+@pytest.mark.parametrize(
+    "href,url",
+    [
+        ("b", "http://h.x/a/b"), ("/b?q#f", "http://h.x/b?q#f"), ("../b", "http://h.x/b"), ("./b/../c", "http://h.x/a/c"), ("../../../b", "http://h.x/b"), ("//o.y/z", "http://o.y/z"), ("https://o.y/z", "https://o.y/z"),
+        ("#f", "http://h.x/a/p?x=1#f"), ("?y", "http://h.x/a/p?y"), ("mailto:a@b", "mailto:a@b"),
+    ],
+)
+def test_joined_urls(spark, href, url):
+    assert spark.range(1).select(fn.joined_url(F.lit("http://h.x/a/p?x=1#top"), F.lit(href))).first()[0] == url
+
+
+def test_anchors(spark):
+    html = """<link href="/no"><a class='x>y' href='/one'>1</a><A HREF=two>2</A><a href="/one">again</a><abbr href="/no">n</abbr><a data-href="/no">n</a>"""
+    got = edge_files.page_links(spark.createDataFrame([(1, "http://h.x/d/p", html), (2, "http://h.x/", None)], "page_id long, url string, html string")).collect()
+    assert {(r["url"], r["place"], r["n"]) for r in got} == {("http://h.x/one", 0, 2), ("http://h.x/d/two", 1, 1)}

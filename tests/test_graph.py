@@ -3,8 +3,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from graphloom.operators import compare, detection, partitioning, statistics, traversal
-from graphloom.plans import Graph
+from pyspark.sql import functions as F
+
+from graphloom.operators import checked, compare, detection, partitioning, statistics, traversal
+from graphloom.plans import Adjacency, Graph, Layers, adjacency, fixpoint
 
 
 def make(spark, n, edges):
@@ -166,3 +168,52 @@ def test_ghosts_of_an_empty_cut(spark):
     crossing = make(spark, 4, [(0, 2), (0, 2), (3, 1)])
     assert {tuple(r) for r in partitioning.ghost_vertices(crossing, 4, 2).collect()} == {(0, 2), (0, 3), (1, 0), (1, 1)}
     assert {tuple(r) for r in partitioning.activation_plan(crossing, 4, 2).collect()} == {(0, 1, 2), (1, 0, 1)}
+
+
+def test_hubs_are_cut_into_blocks(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, i) for i in range(40)] + [(1, 2), (1, 2), (3, 4)], "src long, dst long")
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "src long, tag string")
+    want = Counter([(0, i, "a") for i in range(40)] + [(1, 2, "b")] * 2)
+    for most, sent in ((3, 100), (3, 0), (1000, 100)):
+        monkeypatch.setattr(adjacency, "MOST_SENT", sent)
+        with Adjacency(edges, most) as kept:
+            got = kept.of(rows)
+            assert Counter((r["src"], r["dst"], r["tag"]) for r in got.collect()) == want
+            assert kept.n_heavy == (1 if most == 3 else 0)
+
+
+def test_layers_hold_the_newest_of_each(spark):
+    layers, want = Layers("test", lambda: [F.max("value").alias("value")]), {}
+    r = random.Random(3)
+    for n in range(12):
+        rows = {r.randrange(50): n * 100 + r.randrange(9) for _ in range(r.randrange(1, 12))}
+        want |= rows
+        layers.add(spark.createDataFrame(list(rows.items()), "id long, value long"), len(rows))
+        assert len(layers.tables) <= 7
+    assert values(layers.settled()) == want
+    some = spark.createDataFrame([(i,) for i in list(want)[:5]], "id long")
+    assert values(layers.settled(some)) == {i: want[i] for i in list(want)[:5]}
+
+
+def test_a_folder_is_asked_for_where_executors_are_apart(spark, monkeypatch):
+    class Apart:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(RuntimeError):
+        fixpoint.shared_dir(Apart())
+
+
+@pytest.mark.parametrize("name", ["bfs", "cc", "kcore", "pagerank"])
+def test_checked_runs_find_what_they_are_told(spark, name):
+    graph = make(spark, 300, random_edges(4, 280, 900))
+    program = {"bfs": lambda: checked.bfs_program(0), "cc": checked.cc_program, "kcore": lambda: checked.kcore_program(3), "pagerank": checked.pagerank_program}[name]()
+    close = 1e-9 if name == "pagerank" else None
+    found, clean = checked.run_checked(graph, program, absolute=close)
+    plain = {"bfs": lambda: traversal.bfs(graph, 0)[0], "cc": lambda: traversal.max_labels(graph)[0], "kcore": lambda: traversal.kcore(graph, 3)[0].select("id", "support"), "pagerank": lambda: traversal.pagerank(graph)[0]}[name]()
+    own = values(found.select("id", F.when(F.col("alive"), F.col("value")).alias("value")))
+    assert own == (pytest.approx(values(plain)) if name == "pagerank" else values(plain))
+    assert all(h["dmr_errors"] == 0 and h["monotonic_errors"] == 0 and h["covered"] <= h["critical"] <= h["active"] for h in clean)
+    wrong = checked.run_checked(graph, program, absolute=close, fault=lambda i, v, n: v + (1 if n == 2 else 0))[1]
+    assert [h["dmr_errors"] for h in wrong] == [h["covered"] if h["iter"] == 2 else 0 for h in wrong]
+    assert sum(h["covered"] for h in clean) > 0
