@@ -1,7 +1,12 @@
 """A training corpus from ``documents``, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All
-but the last return the columns of ``documents``; the last returns the packed pieces.
+but the last return the columns of ``documents``; the last returns the packed pieces, which name documents and places in
+them but hold no token ids: ``pack_documents`` adds them on demand.
+
+Defined cases, for every stage: a null text is empty, which the quality rules reject; a null doc_id is kept and ranks as the
+stage's operator says; rows that repeat are copies; other columns may be null, have any names, and pass through; texts of any
+length are read whole; an empty table gives an empty result. Ties are named at the stages.
 """
 
 from __future__ import annotations
@@ -18,27 +23,28 @@ from graphloom.llm.simhash_dedup import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go; rows are judged one by one, so there are no ties."""
     return quality_filter(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays; of rows that share it too, the largest in the other columns."""
     return drop_copies(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays; of texts that share it, the one that hashes
+    lowest."""
     return drop_near_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, of whatever layer, are masked."""
+    """Secrets, of whatever layer, are masked; spans that touch or overlap become one mask."""
     return redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences; pieces of a length are dealt in stored order."""
     return pack_documents(docs, tokenizer_path(), keep_ids=False)
 
 
