@@ -134,7 +134,7 @@ def pagerank(graph: Graph, alpha: float = ALPHA, tolerance: float = TOLERANCE, m
             if not found["active"]:
                 break
             history.append({"iter": round_no, **found})
-            ranks.add(last.select("id", "rank", F.lit(round_no).alias("at")), found["active"])
+            ranks.add(last.select("id", "rank", F.lit(round_no).alias("at")), found["active"], whole=found["active"] == n)
             if not found["changed"]:
                 break
         else:

@@ -23,7 +23,12 @@ class Layers:
         self.label, self.newest = label, newest
         self.tables: list[tuple[DataFrame, int]] = []
 
-    def add(self, table: DataFrame, rows: int) -> None:
+    def add(self, table: DataFrame, rows: int, whole: bool = False) -> None:
+        """Put ``table`` over the others; ``whole``: it has every id, so the others, which must be of ``scratch``, are deleted."""
+        if whole:
+            for old, _ in self.tables:
+                remove(old)
+            self.tables.clear()
         self.tables.append((table, rows))
         while len(self.tables) > 1 and self.tables[-2][1] < 2 * self.tables[-1][1]:
             (old, _), (new, _) = self.tables[-2:]
@@ -44,4 +49,4 @@ class Layers:
         rows = self.rows()
         if only is not None:
             rows = rows.join(only.select("id"), "id", "left_semi")
-        return self._settled(rows)
+        return rows if len(self.tables) == 1 else self._settled(rows)  # no table has an id twice

@@ -195,6 +195,18 @@ def test_layers_hold_the_newest_of_each(spark):
     assert values(layers.settled(some)) == {i: want[i] for i in list(want)[:5]}
 
 
+def test_a_whole_layer_replaces_the_others(spark):
+    layers = Layers("whole", lambda: [F.max_by("v", "at").alias("v"), F.max("at").alias("at")])
+    for at, ids in ((0, range(6)), (1, range(2))):
+        table, found = fixpoint.scratch(spark.createDataFrame([(i, 10 * at, at) for i in ids], "id long, v int, at int"), "whole", n=F.count("*"))
+        layers.add(table, found["n"])
+    assert len(layers.tables) == 2
+    newest, _ = fixpoint.scratch(spark.createDataFrame([(i, 70 + i, 2) for i in range(6)], "id long, v int, at int"), "whole")
+    layers.add(newest, 6, whole=True)
+    assert len(layers.tables) == 1
+    assert {(r.id, r.v) for r in layers.settled().collect()} == {(i, 70 + i) for i in range(6)}
+
+
 def test_a_folder_is_asked_for_where_executors_are_apart(spark, monkeypatch):
     class Apart:
         conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
